@@ -1,0 +1,278 @@
+"""Row-local operators: BPE, token store, quality rules, language, toxicity, main text."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from siftmark.llm import bpe, language, main_text, quality, queries, token_store, toxicity
+from siftmark.llm.html_tree import parse
+
+SF = "/root/testdata/sf0.001"
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+LIBRARY.encode_special_tokens = True
+ODD = [(3, None, "en"), (1, "", None), (2, "  \n\t ", "en"), (2, "  \n\t ", "en"), (None, "word word", "en"), (5, "x" * 30000 + " " + "é " * 20000, "fr"), (6, "<|endoftext|> it's 12½ 漢字 🙂", None)]
+SCHEMA = "doc_id long, text string, lang string, n_words int, score string, held_out string, ids string"
+
+
+def odd(spark, rows=ODD):
+    return spark.createDataFrame([(*r, 1, "a", "b", "c") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.ByteBPE(RANKS, public_tokenizers.PATTERN, memo=50)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("abc  '\n\tsdl12"))), max_size=60))
+def test_bpe_equals_tiktoken(text):
+    own = test_bpe_equals_tiktoken.encoder
+    ids = own.encode(text)
+    assert ids == TIKTOKEN.encode_ordinary(text)
+    assert own.decode(ids) == text.encode()
+
+
+test_bpe_equals_tiktoken.encoder = bpe.ByteBPE(RANKS, public_tokenizers.PATTERN, memo=50)
+
+
+def test_perfect_hash_is_minimal(encoder):
+    assert sorted(encoder.words.values) == sorted(RANKS.values())
+    assert all(encoder.words.get(k) == v for k, v in RANKS.items())
+    assert encoder.words.get(b"not in the vocabulary") == -1
+    assert bpe.PerfectHash({}).get(b"x") == -1
+
+
+def expected_digests(text):
+    ids = np.array(TIKTOKEN.encode_ordinary(text or ""), "<u4").tobytes()
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_bpe_rows(spark):
+    got = bpe.token_digests(odd(spark), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == Counter((d, *expected_digests(t)) for d, t, _ in ODD)
+    assert bpe.token_digests(odd(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_byte_bpe(spark, SF).collect()}
+    assert got == {d: expected_digests(t) for d, t in texts.items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("abc  '\n\tsdl12"))), max_size=60))
+def test_library_encoder_equals_whole_text(text):
+    own = test_library_encoder_equals_whole_text.encoder
+    assert np.frombuffer(own.encode_bytes(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as _file:
+    DEFINITION = _file.read()
+test_library_encoder_equals_whole_text.encoder = token_store.LibraryEncoder(DEFINITION, public_tokenizers.PATTERN, memo=20)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 700, token_store.BLOCK, token_store.BLOCK + 1])
+def test_rans_round_trip(n):
+    ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 40000).astype(np.uint32)
+    tables = token_store.Tables(np.bincount(ids, minlength=3))
+    again = token_store.Tables.from_bytes(tables.to_bytes())
+    assert (again.freq == tables.freq).all() and int(tables.freq.sum()) in (0, 1 << token_store.PRECISION)
+    cut = n // 3
+    docs, parts = token_store.decode_segment(token_store.encode_segment([7, None], [ids[:cut], ids[cut:]], tables), again)
+    assert docs == [7, None] and (parts[0] == ids[:cut]).all() and (parts[1] == ids[cut:]).all()
+
+
+def test_rans_blocks_decode_alone_and_damage_shows():
+    ids = np.random.default_rng(1).integers(0, 300, token_store.BLOCK * 2 + 17).astype(np.uint32)
+    tables = token_store.Tables(np.bincount(ids))
+    segment = token_store.encode_segment([1], [ids], tables)
+    head, base = token_store.read_head(segment)
+    assert len(head["checkpoints"]) == 3
+    at, n, *_ = head["checkpoints"][1]
+    assert (token_store.decode_checkpoint(segment, base, head["checkpoints"][1], tables) == ids[at : at + n]).all()
+    broken = bytearray(segment)
+    broken[base + 100] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        token_store.decode_segment(bytes(broken), tables)
+
+
+def test_frequencies_cover_all_counts():
+    counts = np.ones(50000)
+    counts[7] = 1e9
+    tables = token_store.Tables(counts)
+    assert int(tables.freq.sum()) == 1 << token_store.PRECISION and (tables.freq > 0).all()
+
+
+def expected_store(rows):
+    out, start = [], 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_store(spark):
+    got = token_store.store_and_read(odd(spark), DEFINITION, public_tokenizers.PATTERN, 2).collect()
+    assert Counter(map(tuple, got)) == Counter(expected_store([(d, t) for d, t, _ in ODD]))
+    assert token_store.store_and_read(odd(spark, []), DEFINITION, public_tokenizers.PATTERN, 2).count() == 0
+
+
+def test_token_store_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sorted(map(tuple, queries.op7_token_store(spark, SF).collect())) == expected_store(rows)
+
+
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = set()
+    for i in range(len(words) - 4):
+        if windows[tuple(words[i : i + 5])] > 1:
+            hit.update(range(i, i + 5))
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit), len(words) < 10 or 100 * len(hit) > 20 * len(words)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t#|é\x0b\x1c\u00a0", max_size=200))
+def test_quality_base(text):
+    assert quality.measure(text)[:6] == brute_quality(text)
+
+
+def test_quality_clash_of_hashes_is_harmless(monkeypatch):
+    monkeypatch.setattr(quality, "window_hashes", lambda ids, n: np.zeros(max(0, len(ids) - n + 1), np.uint64))
+    words = "a b c d e f g a b c d e x y".split()
+    number = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words])
+    assert quality.duplicated(ids, 5).tolist() == [True] * 5 + [False] * 2 + [True] * 5 + [False] * 2
+
+
+def test_quality_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op4_quality_rules(spark, SF).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+
+
+def test_quality_rows(spark):
+    got = quality.quality_rules(odd(spark))
+    assert got.count() == len(ODD) and quality.quality_rules(odd(spark, [])).count() == 0
+    assert [r.kept for r in got.where("doc_id = 3").collect()] == [False]
+
+
+def test_language(spark):
+    held = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
+
+
+def test_language_rows(spark):
+    rows = odd(spark)
+    model = language.train(rows)
+    got = {r.doc_id: r for r in language.identify(rows, model).collect()}
+    assert len(got) == 6 and got[3].lang_pred == got[1].lang_pred == got[2].lang_pred == "und"
+    assert got[None].held_out is False and got[None].lang_pred in model.languages
+    nothing = language.train(odd(spark, []))
+    assert {r.lang_pred for r in language.identify(rows, nothing).collect()} == {"und"}
+    assert language.identify(odd(spark, []), model).count() == 0
+
+
+def test_language_backs_off_to_grams():
+    model = language.LanguageModel({"aa": {"banana": 5, "bandana": 2}, "zz": {"zuzuzu": 5, "zuz": 1}})
+    assert model.predict("banabana")[0] == "aa" and model.predict("zuzu ZUZUZUZ")[0] == "zz"
+    assert model.predict("123 !!") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+
+
+def test_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit >= 0.9 * sum(r.toxic for r in got) and hit >= 0.9 * sum(r.predicted for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_toxicity_rows(spark):
+    none = toxicity.train(odd(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
+    docs = [(i, ("you idiot " if i % 5 == 0 else "fine day ") + f"w{i % 7}x", "en") for i in range(400)] + [(500, None, None), (501, "", None)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(3, None), (4, 0)], "doc_id long, toxic int")
+    model = toxicity.train(odd(spark, docs), labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(odd(spark, docs), model).collect()}
+    assert all(got[i] == (i % 5 == 0) for i in range(400)) and not got[500] and not got[501]
+    kept = toxicity.drop_toxic(odd(spark, docs), model)
+    assert kept.columns == odd(spark, docs).columns and kept.count() == 322
+    assert toxicity.score(odd(spark, []), model).count() == 0
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    flip = lambda rate: np.where(rng.random(4000) < rate, ~truth, truth)
+    a = flip(0.1)
+    votes = np.stack([a, a, flip(0.15), flip(0.2)], 1).astype(int) * 2 - 1  # two voters copy each other
+    votes[rng.random(votes.shape) < 0.1] = 0
+    posterior = toxicity.LabelModel(votes, np.where(rng.random(4000) < 0.2, ~truth, truth)).posterior(votes)
+    # the best decision possible: true rates, and one vote where either copy of the first voter speaks
+    first = np.where(votes[:, 0] != 0, votes[:, 0], votes[:, 1])
+    odds = sum(v * np.log((1 - e) / e) for v, e in ((first, 0.1), (votes[:, 2], 0.15), (votes[:, 3], 0.2))) + np.log(0.3 / 0.7)
+    assert ((posterior > 0.5) == truth).mean() > ((odds > 0) == truth).mean() - 0.015
+
+
+@pytest.fixture(scope="module")
+def extractor():
+    return main_text.train(pages=250)
+
+
+def test_main_text_of_made_pages(extractor):
+    rng, scores = random.Random(5), []
+    for _ in range(150):
+        page, pieces = main_text.training_page(rng)
+        want = Counter(" ".join(v.text for x, main in pieces if main for v in main_text.flatten(parse(x)) if v.tag == "#text").split())
+        got = Counter(extractor.extract([page])[0].split())
+        scores.append(2 * (want & got).total() / max(1, want.total() + got.total()))
+    assert np.mean(scores) > 0.93
+
+
+def test_decoding_has_no_contradictions(extractor):
+    rng = random.Random(8)
+    for _ in range(30):
+        nodes = main_text.flatten(parse(main_text.training_page(rng)[0]))
+        x = np.random.default_rng(1).normal(size=(2, len(nodes))) * 4
+        states = dict(zip(map(id, nodes), main_text.decode(nodes, *x), strict=True))
+        for v in nodes:
+            if v.parent is not None and states[id(v.parent)] != main_text.MIXED:
+                assert states[id(v)] == states[id(v.parent)]
+            if not v.children:
+                assert states[id(v)] != main_text.MIXED
+
+
+def test_main_text_rows(spark, extractor):
+    rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "plain &amp; text " * 50, "t"), (3, "u", "<p>a<p>b<script>var x='<p>'", "t"), (None, "u", "<div " * 2000, "t"), (5, "u", "<div>" * 3000 + "deep", "t")]
+    got = main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), extractor)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 6
+    assert all(r.n_chars == len(r.text) for r in got.collect())
+    assert {r.text for r in got.where("page_id < 3").collect()} == {""}
+
+
+def test_main_text_query(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op1_html_main_text(spark, SF).collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        assert r.text == " ".join(v.text for v in main_text.flatten(parse(article)) if v.tag == "#text")
