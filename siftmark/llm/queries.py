@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftmark.llm import bpe, language, main_text, quality, token_store, toxicity
+from siftmark.llm import bpe, decontaminate, language, line_dedup, main_text, minhash, quality, token_store, toxicity, url_rules
+from siftmark.llm.oracles import ORACLE_SQL
 from siftmark.llm.common import table
 
 #: Id appended to each document of the token store.
 END_ID = 2
+#: Links of ``op9``: 100 * intersection >= 85 * union, and the bands that find them.
+PERCENT, N_BANDS = 85, 24
+#: Hand-written rules of ``op8``.
+HOST_RULES = [
+    url_rules.HostRule("block", "com", "/en/"),
+    url_rules.HostRule("allow", "example.com", "/en/7"),
+    url_rules.HostRule("allow", "net", "/de/"),
+    url_rules.HostRule("block", "example.net", "/de/8"),
+    url_rules.HostRule("block", "org", "/es/"),
+]
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +48,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept_sha256`` (of the text that is left) of every document."""
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines")))
+    return docs.select("doc_id", "n_lines", F.col("dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
     return token_store.store_and_read(table(spark, sf_dir, "documents"), definition, public_tokenizers.PATTERN, END_ID)
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), HOST_RULES)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), PERCENT, N_BANDS)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_toxicity, op7_token_store)
+    f.__name__: f
+    for f in (op1_html_main_text, op2_language_id, op3_byte_bpe, op4_quality_rules, op5_toxicity, op6_line_dedup, op7_token_store, op8_url_rules, op9_minhash, op10_decontaminate)
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
