@@ -17,6 +17,7 @@ alphabetical order; repeated rows repeat their result; extra columns are ignored
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,78 +29,101 @@ from pyspark.sql import functions as F
 
 from siftmark.llm.common import bounded_batches, remainder
 
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-SPARK_WORD = r"\p{L}[\p{L}\p{M}]*"
+#: A run of letters; in Spark, and in Python (where letter-like numbers also count, which ``LETTER`` rules out).
+SPARK_WORD = r"\p{L}+"
+WORD = re.compile(r"[^\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: Most word scores a worker remembers.
-MEMO = 500_000
+#: Scores of unknown words that a worker remembers.
+MEMO = 100_000
 
 
 class LanguageModel:
-    """Scores of words and n-grams; ``words`` and ``grams`` map to a row of log frequencies."""
+    """Scores of words and n-grams: a row of log frequencies, a column for each language."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], max_n: int = 5, max_grams: int = 60_000, penalty: float = 1.0, floor: float = 0.5):
+    def __init__(self, counts: dict[str, dict[str, int]], max_n: int = 5, max_grams: int = 20_000, penalty: float = 1.0, floor: float = 0.5):
         self.languages = sorted(counts)
         self.max_n, self.penalty = max_n, penalty
-        self.words = self._table([Counter(counts[x]) for x in self.languages], floor)
-        grams: list[list[Counter]] = [[Counter() for _ in self.languages] for _ in range(max_n + 1)]
-        for k, language in enumerate(self.languages):
-            for word, n in counts[language].items():
-                marked = f"\x02{word}\x03"
-                for size in range(1, max_n + 1):
-                    own = grams[size][k]
+        self.index, self.rows = self._table([counts[x] for x in self.languages], floor)
+        self.known = len(self.index)
+        self.grams: dict[str, int] = {}
+        tables = []
+        for size in range(1, max_n + 1):
+            kept = []
+            for language in self.languages:
+                own: Counter = Counter()
+                for word, n in counts[language].items():
+                    marked = f"\x02{word}\x03"
                     for i in range(len(marked) - size + 1):
                         own[marked[i : i + size]] += n
-        self.grams: dict[str, np.ndarray] = {}
-        for size in range(1, max_n + 1):
-            self.grams |= self._table([Counter(dict(c.most_common(max_grams))) for c in grams[size]], floor)
-        self.floor = np.full(len(self.languages), -20.0)
-        self.memo: dict[str, np.ndarray] = {}
+                kept.append(dict(own.most_common(max_grams)))
+            index, rows = self._table(kept, floor)
+            base = len(self.grams)
+            self.grams |= {k: base + i for k, i in index.items()}
+            tables.append(rows - rows.max(1, keepdims=True) if len(rows) else rows)
+        self.gram_rows = np.concatenate(tables)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Make room for scores of unknown words."""
+        for word in getattr(self, "memo", ()):
+            del self.index[word]
+        self.memo: list[str] = []
+        self.all_rows = np.concatenate([self.rows, np.zeros((MEMO, len(self.languages)), np.float32)])
 
     def __getstate__(self):
-        return vars(self) | {"memo": {}}
+        return {k: v for k, v in vars(self).items() if k not in ("all_rows", "memo", "index")} | {"index": {k: i for k, i in self.index.items() if i < self.known}}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
-    @staticmethod
-    def _table(counters: list[Counter], floor: float) -> dict[str, np.ndarray]:
-        keys = sorted(set().union(*counters))
-        totals = [sum(c.values()) + floor * (len(keys) + 1) for c in counters]
-        return {k: np.array([math.log((c[k] + floor) / t) for c, t in zip(counters, totals, strict=True)]) for k in keys}
+    def _table(self, counts: list[dict[str, int]], floor: float) -> tuple[dict[str, int], np.ndarray]:
+        index = {k: i for i, k in enumerate(sorted(set().union(*counts)))}
+        table = np.full((len(index), len(counts)), floor)
+        for column, own in enumerate(counts):
+            table[[index[k] for k in own], column] += list(own.values())
+        return index, np.log(table / (table.sum(0) + floor)).astype(np.float32)
 
     def backoff(self, word: str) -> np.ndarray:
         """Score of an unknown word by the longest known n-gram at each position."""
-        marked, parts = f"\x02{word[:200]}\x03", []  # a longer run of letters is no word; its first 200 decide
+        marked, at, grams = f"\x02{word[:200]}\x03", [], self.grams  # a longer run of letters is no word; its first 200 decide
         for i in range(len(marked)):
             for size in range(min(self.max_n, len(marked) - i), 0, -1):
-                if (row := self.grams.get(marked[i : i + size])) is not None:
-                    parts.append(row - row.max())
+                if (row := grams.get(marked[i : i + size])) is not None:
+                    at.append(row)
                     break
-        return np.mean(parts, axis=0) * 2 - self.penalty if parts else self.floor
+        return self.gram_rows[at].mean(0) * 2 - self.penalty if at else np.full(len(self.languages), -20.0)
 
-    def word(self, word: str) -> np.ndarray:
-        row = self.words.get(word)
-        if row is not None:
-            return row
+    def place(self, word: str) -> int:
+        """Row of an unknown word, scored now."""
         if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if (row := self.memo.get(word)) is None:
-            row = self.memo[word] = self.backoff(word)
-        return row
+            self._forget()
+        at = self.known + len(self.memo)
+        self.all_rows[at] = self.backoff(word)
+        self.index[word] = at
+        self.memo.append(word)
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior."""
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.languages:
+        words = WORD.findall(text.lower()) if text and self.languages and LETTER.search(text) else []
+        if not words:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.languages))
-        for word, n in Counter(words).items():
-            total += n * self.word(word)
+        found, get = [*Counter(words).items()], self.index.get
+        for part in range(0, len(found), MEMO // 2):  # the memo never turns over between a place and its use
+            own = found[part : part + MEMO // 2]
+            if len(self.memo) + len(own) > MEMO:
+                self._forget()
+            at = [k if (k := get(w)) is not None else self.place(w) for w, _ in own]
+            total += np.array([n for _, n in own], np.float64) @ self.all_rows[at]
         best = int(np.argmax(total))
-        # the exponent grows with the square root of the length: words of a text aren't independent
-        gap = (total - total[best]) / math.sqrt(len(words))
-        return self.languages[best], float(1 / np.exp(gap).sum())
+        # divided by the square root of the length: words of a text aren't independent
+        return self.languages[best], float(1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum())
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 100_000, max_languages: int = 256, **options) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_languages: int = 256, **options) -> LanguageModel:
     """Fit on rows with a language whose crc32(doc_id) modulo 5 isn't 0.
 
     Word counts are aggregated in Spark; the driver gets ``max_words`` rows for each language.
