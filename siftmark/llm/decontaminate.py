@@ -1,9 +1,10 @@
 r"""Benchmark decontamination by a distributed positional inverted index (DataFrame functions only).
 
-1. Terms of the benchmark are counted over the whole corpus. Each *window* of an item (``SIZE``
-   consecutive words; a shorter item is one window) names its ``RAREST`` rarest positions; a window
-   with a term that the corpus lacks cannot occur and is left out.
-2. The index: postings (document, term, position) of the terms so named, over all documents.
+1. The index: postings (document, term, position) of every term of the benchmark, over all documents.
+   A posting of the term ``END`` tells each document's number of words.
+2. Each *window* of an item (``SIZE`` consecutive words; a shorter item is one window) names its
+   ``RAREST`` rarest positions by counts of the postings; a window with a term that the corpus lacks
+   cannot occur and is left out.
 3. A posting shifted by the position in the item gives a diagonal. Lists are intersected: a window
    is a candidate on a diagonal that all its rarest positions agree on.
 4. Candidates are compared with the document's words, all of them, so matches are exact phrases.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from siftmark.llm.common import ascii_lower
 from siftmark.session import broadcast_if_small, materialize
 
-SIZE, RAREST = 10, 3
+SIZE, RAREST = 10, 2
+#: Stands behind a document's last word; no word has a space.
+END = " end"
 #: Fixed value: characters of a word, after and before lower-casing of A-Z.
 LOWERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,35 +40,34 @@ def _words(text: Column, pattern: str = LOWERED) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, place, term``: every word of every document."""
-    words = _words(F.lower("text"))
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(words).alias("place", "term"))
-
-
 class Index:
-    """Windows of a benchmark and the postings of their rarest terms."""
+    """Windows of a benchmark, and postings of its terms."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int = RAREST):
         items = benchmark.where("text is not null").select("item_id", "text").distinct()
         # a text of an item is told from others by its hash
         items = items.select("item_id", F.xxhash64("text").alias("variant"), _words(F.lower("text")).alias("terms"), _words(ascii_lower(F.col("text"))).alias("words"))
         self.items = materialize(items.where(F.size("terms") > 0), "items", "lz4")
-        vocabulary = materialize(self.items.select(F.explode("terms").alias("term")).distinct(), "vocabulary", "lz4")
-        self.docs = docs
-        counts = _terms(docs).select("term").join(broadcast_if_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        self.counts = materialize(counts, "term-counts", "lz4")
+        spark = docs.sparkSession
+        vocabulary = self.items.select(F.explode("terms").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("term"))
+        vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame([(END, -1)], "word string, term long")), "vocabulary", "lz4")
+        places = F.posexplode(F.array_append(_words(F.lower("text")), END)).alias("place", "word")
+        every = docs.select("doc_id", F.xxhash64("text").alias("mark"), places).join(broadcast_if_small(vocabulary), "word")
+        self.postings = materialize(every.select("doc_id", "mark", "place", "term"), "postings", "lz4")
+        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        counted = materialize(vocabulary.join(counts, "term").select(F.col("word").alias("term"), F.col("term").alias("number"), "n"), "term-counts", "lz4")
         starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("terms") - size, F.lit(0))))
         windows = self.items.select("item_id", "variant", "terms", starts.alias("start")).withColumn("long", F.least(F.lit(size), F.size("terms") - F.col("start")))
-        places = windows.select("item_id", "variant", "start", "long", F.posexplode(F.slice("terms", F.col("start") + 1, F.col("long"))).alias("off", "term"))
-        counted = places.join(self.counts, "term", "left")
-        ordered = counted.groupBy("item_id", "variant", "start", "long").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("all"))  # ``long`` entries each
+        offsets = windows.select("item_id", "variant", "start", "long", F.posexplode(F.slice("terms", F.col("start") + 1, F.col("long"))).alias("off", "term"))
+        ordered = offsets.join(counted, "term", "left").groupBy("item_id", "variant", "start", "long").agg(F.sort_array(F.collect_list(F.struct("n", "off", "number"))).alias("all"))  # ``long`` entries each
         able = ordered.where(F.forall("all", lambda x: x["n"].isNotNull()))
-        able = able.withColumn("anchors", F.transform(F.slice("all", 1, rarest), lambda x: F.struct((F.col("start") + x["off"]).alias("at"), x["term"].alias("term"))))
+        able = able.withColumn("anchors", F.transform(F.slice("all", 1, rarest), lambda x: F.struct((F.col("start") + x["off"]).alias("at"), x["number"].alias("term"))))
         self.windows = materialize(able.select("item_id", "variant", "start", "long", "anchors"), "windows", "lz4")
         self.anchors = materialize(self.windows.select("item_id", "variant", F.explode("anchors").alias("a")).select("item_id", "variant", "a.at", "a.term").distinct(), "anchors", "lz4")
-        named = materialize(self.anchors.select("term").distinct(), "named", "lz4")
-        self.postings = materialize(_terms(docs).join(broadcast_if_small(named), "term"), "postings", "lz4")
+
+    def lengths(self) -> DataFrame:
+        """``doc_id, mark, n_words``: a row for each document row."""
+        return self.postings.where("term = -1").select("doc_id", "mark", F.col("place").cast("long").alias("n_words"))
 
     def hits(self) -> DataFrame:
         """``doc_id, mark, item_id, variant, at, place``: postings where an item names their term."""
@@ -92,30 +94,37 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int = RAREST) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text`` of every row.
+    """``doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated, items, places`` of every row.
 
-    ``items`` are the ids found, as sorted strings; ``text`` is the whole text.
+    ``items`` are the ids found, as sorted strings; ``places`` the numbers (from 0) of words hit;
+    ``mark`` the hash of the text.
     """
     index = Index(docs, benchmark, size, rarest)
-    found = _null_safe(index.candidates(), index.items.select("item_id", "variant", "words"), ["item_id", "variant"])
-    found = found.select("doc_id", "mark", F.struct("item_id", "place", F.slice("words", F.col("start") + 1, F.col("long")).alias("words")).alias("c"))
     # windows of one document: in proportion to its own words
-    grouped = materialize(found.groupBy("doc_id", "mark").agg(F.collect_list("c").alias("found")), "candidates", "lz4")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), _words(F.col("text"), ANY_CASE).alias("words"))
-    rows = _null_safe(rows, broadcast_if_small(grouped, 50_000), ["doc_id", "mark"], "left")
-    exact = F.filter("found", lambda c: F.transform(F.slice("words", c["place"] + 1, F.size(c["words"])), ascii_lower) == c["words"])
-    rows = rows.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.coalesce(exact, F.expr("array()")).alias("hit"))
-    places = F.array_distinct(F.flatten(F.transform("hit", lambda c: F.sequence(c["place"], c["place"] + F.size(c["words"]) - 1))))
-    items = F.array_sort(F.array_distinct(F.transform("hit", lambda c: c["item_id"].cast("string"))))
-    rows = rows.select("doc_id", "text", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+    asked = index.candidates().groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "variant", "start", "long", "place")).alias("asked"))
+    asked = materialize(asked, "candidates", "lz4").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    texts = texts.join(broadcast_if_small(asked, 50_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    words = texts.select("doc_id", "mark", "asked", _words(F.col("text"), ANY_CASE).alias("words"))
+    phrases = F.transform("asked", lambda c: F.struct(c["item_id"], c["variant"], c["start"], c["place"], c["long"], ascii_lower(F.array_join(F.slice("words", c["place"] + 1, c["long"]), " ")).alias("phrase")))
+    shown = words.select("doc_id", "mark", F.explode(phrases).alias("c")).select("doc_id", "mark", "c.*")
+    sought = _null_safe(index.windows.select("item_id", "variant", "start", "long"), index.items.select("item_id", "variant", "words"), ["item_id", "variant"])
+    sought = sought.select("item_id", "variant", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("long")), " ").alias("sought"))
+    exact = _null_safe(shown, sought, ["item_id", "variant", "start"]).where("phrase = sought")
+    found = exact.groupBy("doc_id", "mark").agg(
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", F.col("place") + F.col("long") - 1))))).alias("places"),
+    )
+    none = F.array().cast("array<string>"), F.array().cast("array<int>")
+    rows = _null_safe(index.lengths(), found, ["doc_id", "mark"], "left").withColumns({"items": F.coalesce("items", none[0]), "places": F.coalesce("places", none[1])})
     return rows.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "text"
+        "doc_id", "mark", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"), "items", "places"
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = matches(docs, benchmark).where("contaminated").select("doc_id", F.xxhash64("text").alias("mark")).distinct()
+    bad = matches(docs, benchmark).where("contaminated").select("doc_id", "mark").distinct()
     bad = materialize(bad, "contaminated", "lz4").select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark"))
     return docs.join(broadcast_if_small(bad), docs.doc_id.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs.text) == F.col("_bad_mark")), "left_anti")
 
