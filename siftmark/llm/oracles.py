@@ -51,7 +51,7 @@ windows AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), {SIZE}) AS n, ar
 sizes AS MATERIALIZED (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM worded, sizes WHERE len(w) >= n),
 hits AS MATERIALIZED (SELECT p.doc_id, p.i, p.n, x.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM places) p JOIN windows x ON x.n = p.n AND x.s = p.s),
-words_hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id),
+words_hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM worded LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)
