@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows beyond which a side is joined by shuffle instead of broadcast (see ``broadcast_if_small``).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes beyond which a side is joined by shuffle instead of broadcast (see ``broadcast_if_small``).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _scratch: dict[str, str] = {}
 
@@ -69,9 +69,10 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count shows at most ``max_rows`` rows, else leave it alone.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows and its files at most ``max_bytes``, else leave it alone.
 
-    ``df`` should be cheap to count (a materialised table).
+    ``df`` should be a materialised table: cheap to count, of known size.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes and df.limit(max_rows + 1).count() <= max_rows else df
