@@ -206,33 +206,39 @@ def similarity_text(spark, sf_dir):
 # clusters and duplicates
 
 
-def _signed(spark, sf_dir, name: str) -> DataFrame:
-    return cluster.signed(cluster.unique_texts(table(spark, sf_dir, name)), HASHER)
+def _signed(spark, sf_dir) -> DataFrame:
+    return cluster.signed(cluster.unique_texts(table(spark, sf_dir, "documents")), HASHER)
+
+
+def _signed_variants(spark, sf_dir) -> DataFrame:
+    """Benchmark texts, each also with a word before it and with two behind it."""
+    forms = F.array("text", F.concat(F.lit("please "), "text"), F.concat("text", F.lit(" now thanks")))
+    return cluster.signed(cluster.unique_texts(table(spark, sf_dir, "benchmark").select(F.explode(forms).alias("text"))), HASHER)
 
 
 @query
 def lsh_bands(spark, sf_dir):
-    return cluster.lsh_bands(_signed(spark, sf_dir, "conversations")).select("id", F.col("band").cast("long").alias("band"), "key")
+    return cluster.lsh_bands(_signed_variants(spark, sf_dir)).select("id", F.col("band").cast("long").alias("band"), "key")
 
 
 @query
 def lsh_band_collisions(spark, sf_dir):
-    return cluster.collisions(cluster.lsh_bands(_signed(spark, sf_dir, "conversations")))
+    return cluster.collisions(cluster.lsh_bands(_signed_variants(spark, sf_dir)))
 
 
 @query
-def lsh_clusters_conversations(spark, sf_dir):
-    return cluster.clusters(_signed(spark, sf_dir, "conversations"))
+def lsh_clusters_variants(spark, sf_dir):
+    return cluster.clusters(_signed_variants(spark, sf_dir))
 
 
 @query
-def cluster_stats_conversations(spark, sf_dir):
-    return cluster.cluster_stats(lsh_clusters_conversations(spark, sf_dir))
+def cluster_stats_variants(spark, sf_dir):
+    return cluster.cluster_stats(lsh_clusters_variants(spark, sf_dir))
 
 
 @query
 def lsh_clusters(spark, sf_dir):
-    return cluster.clusters(_signed(spark, sf_dir, "documents"))
+    return cluster.clusters(_signed(spark, sf_dir))
 
 
 @query
@@ -242,7 +248,7 @@ def cluster_stats(spark, sf_dir):
 
 @query
 def top_clusters(spark, sf_dir):
-    texts = _signed(spark, sf_dir, "documents")
+    texts = _signed(spark, sf_dir)
     return cluster.top_clusters(materialize(cluster.clusters(texts), "clusters"), texts)
 
 
@@ -264,10 +270,14 @@ def cross_corpus_exact(spark, sf_dir):
 
 @query
 def cross_corpus_lsh(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", text.normalized(F.col("text")).alias("text")).where("text <> ''").distinct()
-    rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism).select("conv_id", F.col("text").alias("id"), HASHER.signature_of(F.col("text")).alias("signature")), "crossed")
-    side = lambda k: rows.where(f"conv_id % 2 = {k}").select("id", "signature").dropDuplicates(["id"])
-    return corpus.cross_lsh(side(0), side(1))
+    """Benchmark texts against the same texts with a word before each."""
+    rows = table(spark, sf_dir, "benchmark")
+
+    def side(form) -> DataFrame:
+        texts = rows.select(text.normalized(form).alias("id")).where("id <> ''").distinct().repartition(spark.sparkContext.defaultParallelism)
+        return materialize(texts.select("id", HASHER.signature_of(F.col("id")).alias("signature")), "crossed")
+
+    return corpus.cross_lsh(side(F.col("text")), side(F.concat(F.lit("please "), "text")))
 
 
 @query

@@ -17,7 +17,8 @@ _norm = normalized("text")
 
 _items = "(SELECT item_id AS id, text AS t FROM benchmark)"
 _turns = "(SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations)"
-_unique = f"""uniques AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) - 1 AS id, t FROM (SELECT DISTINCT {_norm} AS t FROM conversations WHERE {_norm} <> ''))"""
+_forms = "(SELECT unnest([text, 'please ' || text, text || ' now thanks']) AS text FROM benchmark)"
+_unique = f"""uniques AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) - 1 AS id, t FROM (SELECT DISTINCT {_norm} AS t FROM {_forms} WHERE {_norm} <> ''))"""
 _bands = f"""banded AS MATERIALIZED (SELECT id, slot // {128 // BANDS} AS band, string_agg(value::VARCHAR, ':' ORDER BY slot) AS key FROM sig GROUP BY ALL)"""
 _stars = """stars AS MATERIALIZED (SELECT DISTINCT b.id AS src, l.dst FROM banded b JOIN (SELECT band, key, min(id) AS dst FROM banded GROUP BY ALL HAVING count(*) > 1) l USING (band, key) WHERE b.id <> l.dst)"""
 _clusters = f"WITH RECURSIVE {_unique}, {signatures('uniques')}, {_bands}, {_stars}, {components('uniques', 'stars')}"
@@ -86,14 +87,14 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT x.id // 2 AS item_id, CASE WHEN max(x.value) = 0 OR max(y.value) = 0 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE x.value = y.value)::DOUBLE / 128 END AS sim FROM sig x JOIN sig y ON x.slot = y.slot AND y.id = x.id + 1 AND x.id % 2 = 0 GROUP BY x.id",
     "lsh_bands": f"WITH {_unique}, {signatures('uniques')}, {_bands} SELECT id, band, key FROM banded",
     "lsh_band_collisions": f"WITH {_unique}, {signatures('uniques')}, {_bands}, {_stars} SELECT src, dst FROM stars",
-    "lsh_clusters_conversations": f"{_clusters} SELECT id, component AS cluster_id FROM component",
-    "cluster_stats_conversations": f"{_clusters}, sizes AS (SELECT component, count(*) AS n FROM component GROUP BY component) SELECT sum(n)::BIGINT AS n_unique, count(*) AS n_clusters, count(*) FILTER (WHERE n > 1) AS n_multi, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_in_multi, 100 * coalesce(sum(n) FILTER (WHERE n > 1), 0)::DOUBLE / sum(n) AS pct_in_multi FROM sizes",
+    "lsh_clusters_variants": f"{_clusters} SELECT id, component AS cluster_id FROM component",
+    "cluster_stats_variants": f"{_clusters}, sizes AS (SELECT component, count(*) AS n FROM component GROUP BY component) SELECT sum(n)::BIGINT AS n_unique, count(*) AS n_clusters, count(*) FILTER (WHERE n > 1) AS n_multi, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_in_multi, 100 * coalesce(sum(n) FILTER (WHERE n > 1), 0)::DOUBLE / sum(n) AS pct_in_multi FROM sizes",
     "exact_dup_rate": f"SELECT {_rate} FROM (SELECT {_norm} AS norm FROM documents)",
     "exact_dup_by_group": f"SELECT source, {_rate} FROM (SELECT source, {_norm} AS norm FROM documents) GROUP BY source",
     "cross_corpus_exact": f"WITH n AS MATERIALIZED (SELECT DISTINCT doc_id % 2 AS k, {_norm} AS norm FROM documents WHERE {_norm} <> '') SELECT count(*) AS n_unique, count(y.norm) AS n_matched, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE 100 * count(y.norm)::DOUBLE / count(*) END AS matched_pct FROM (SELECT norm FROM n WHERE k = 0) x LEFT JOIN (SELECT norm FROM n WHERE k = 1) y USING (norm)",
-    "cross_corpus_lsh": f"WITH {_unique}, {signatures('uniques')}, {_bands}, sides AS MATERIALIZED (SELECT DISTINCT u.id, c.k FROM (SELECT DISTINCT conv_id % 2 AS k, {_norm} AS t FROM conversations) c JOIN uniques u USING (t)), "
-    "hits AS (SELECT DISTINCT x.id FROM banded x JOIN sides s ON s.id = x.id AND s.k = 0 JOIN (SELECT DISTINCT b.band, b.key FROM banded b JOIN sides USING (id) WHERE k = 1) y ON x.band = y.band AND x.key = y.key) "
-    "SELECT (SELECT count(*) FROM sides WHERE k = 0) AS n_unique, count(*) AS n_matched, CASE WHEN (SELECT count(*) FROM sides WHERE k = 0) = 0 THEN 0.0::DOUBLE ELSE 100 * count(*)::DOUBLE / (SELECT count(*) FROM sides WHERE k = 0) END AS matched_pct FROM hits",
+    "cross_corpus_lsh": f"WITH uniques AS MATERIALIZED (SELECT row_number() OVER () AS id, k, t FROM (SELECT DISTINCT 0 AS k, {_norm} AS t FROM benchmark UNION SELECT DISTINCT 1, {_norm} FROM (SELECT 'please ' || text AS text FROM benchmark)) WHERE t <> ''), {signatures('uniques')}, {_bands}, "
+    "hits AS (SELECT DISTINCT x.id FROM banded x JOIN uniques u ON u.id = x.id AND u.k = 0 JOIN (SELECT DISTINCT b.band, b.key FROM banded b JOIN uniques USING (id) WHERE k = 1) y ON x.band = y.band AND x.key = y.key) "
+    "SELECT (SELECT count(*) FROM uniques WHERE k = 0) AS n_unique, count(*) AS n_matched, CASE WHEN (SELECT count(*) FROM uniques WHERE k = 0) = 0 THEN 0.0::DOUBLE ELSE 100 * count(*)::DOUBLE / (SELECT count(*) FROM uniques WHERE k = 0) END AS matched_pct FROM hits",
     "pair_similarities": f"WITH {_bit_pairs} SELECT a, b, sim, is_intra::INTEGER AS is_intra FROM pairs",
     "pair_similarities_lexical": f"WITH {_lexical_pairs} SELECT a, b, sim, is_intra::INTEGER AS is_intra FROM pairs",
     "family_count": "SELECT count(DISTINCT label) AS n_families FROM embeddings",
