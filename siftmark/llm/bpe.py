@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from siftmark.llm.common import bounded_batches
 
 #: Entries of each of the two generations of the pre-token memo of a worker.
-MEMO = 400_000
+MEMO = 200_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
