@@ -31,15 +31,29 @@ def _folds() -> tuple[tuple[str, str], dict[str, str]]:
     return ("".join(single), "".join(single.values())), longer
 
 
+def _ranges(characters: str) -> str:
+    """A character class of runs of code points: a class of single ones is tested one by one."""
+    codes = sorted({ord(c) for c in characters})
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c <= runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def casefold(text: Column) -> Column:
     """Full case folding. Rare folds cost only the texts that contain one."""
     (old, new), longer = _folds()
     low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in old + "".join(longer)) + "]"
+    rare = old + "".join(longer)
+    first = sorted(map(ord, rare))[1]  # one of them, the micro sign, is apart from the others
     full = F.translate(low, old, new)
     for c, fold in longer.items():
         full = F.replace(full, F.lit(c), F.lit(fold))
-    return F.when(low.rlike(rare), full).otherwise(low)
+    far = low.rlike(f"[\\x{{{min(map(ord, rare)):x}}}\\x{{{first:x}}}-\\x{{10ffff}}]")
+    return F.when(~far, low).when(~low.rlike(_ranges(rare)), low).otherwise(full)
 
 
 def tokens(text: Column) -> Column:
