@@ -5,9 +5,9 @@ doesn't know backs off to character n-grams of the word with its edges marked: f
 the longest known n-gram counts, from ``max_n`` characters down to one, and their mean stands for
 the word, less ``penalty``.
 
-Training aggregates words by language in Spark and sends a bounded table to the driver: at most
+Training aggregates words by language in Spark and sends the table to the driver: at most
 ``max_docs`` documents are expected in the sample (a documented bound; rows are taken by a hash of
-doc_id), ``max_words`` words and ``max_grams`` n-grams of each length are kept for each language.
+doc_id), and all their words, with all n-grams of these, are kept.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0; empty tables give
 empty results; without training rows every text is ``und``; ties go to the language first in
@@ -41,7 +41,7 @@ MEMO = 100_000
 class LanguageModel:
     """Scores of words and n-grams: a row of log frequencies, a column for each language."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], max_n: int = 5, max_grams: int = 20_000, penalty: float = 1.0, floor: float = 0.5):
+    def __init__(self, counts: dict[str, dict[str, int]], max_n: int = 5, penalty: float = 1.0, floor: float = 0.5):
         self.languages = sorted(counts)
         self.max_n, self.penalty = max_n, penalty
         self.index, self.rows = self._table([counts[x] for x in self.languages], floor)
@@ -56,7 +56,7 @@ class LanguageModel:
                     marked = f"\x02{word}\x03"
                     for i in range(len(marked) - size + 1):
                         own[marked[i : i + size]] += n
-                kept.append(dict(own.most_common(max_grams)))
+                kept.append(own)
             index, rows = self._table(kept, floor)
             base = len(self.grams)
             self.grams |= {k: base + i for k, i in index.items()}
@@ -123,10 +123,10 @@ class LanguageModel:
         return self.languages[best], float(1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum())
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_languages: int = 256, **options) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = 20_000, **options) -> LanguageModel:
     """Fit on rows with a language whose crc32(doc_id) modulo 5 isn't 0.
 
-    Word counts are aggregated in Spark; the driver gets ``max_words`` rows for each language.
+    Word counts are aggregated in Spark; the driver gets a row for each word of a language in the sample.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
     total = rows.select("doc_id").count()
@@ -134,9 +134,8 @@ def train(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * max_docs / total))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_WORD), F.lit(0))).alias("word")).where(F.length("word") <= 200)
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.expr("row_number() over (partition by lang order by n desc, word)")).where(F.col("rank") <= max_words)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in ranked.select("lang", "word", "n").limit(max_words * max_languages).toLocalIterator():
+    for r in counted.toLocalIterator():
         counts[r.lang][r.word] = r.n
     return LanguageModel(counts, **options)
 

@@ -200,6 +200,15 @@ def test_language_backs_off_to_grams():
     assert model.predict("123 !!") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
 
 
+def test_language_learns_every_word_of_the_sample(spark):
+    """More words than 40,000 and more n-grams of a length than 20,000; rare ones count as well."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrst", k=7)) for _ in range(45_000)})
+    model = language.train(odd(spark, [(1, " ".join(words), "aa"), (2, "zeta eta", "zz")]))
+    assert all(w in model.index for w in words) and len(words) > 40_000
+    assert {w[i : i + 4] for w in words for i in range(4)} <= set(model.grams)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
