@@ -36,6 +36,8 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Scores of unknown words that a worker remembers.
 MEMO = 100_000
+#: Characters of remembered words beyond which a worker forgets, and positions of a word scored at once.
+MEMO_CHARS, PIECE = 20_000_000, 65_536
 
 
 class LanguageModel:
@@ -69,6 +71,7 @@ class LanguageModel:
         for word in getattr(self, "memo", ()):
             del self.index[word]
         self.memo: list[str] = []
+        self.memo_chars = 0
         self.all_rows = np.concatenate([self.rows, np.zeros((MEMO, len(self.languages)), np.float32)])
 
     def __getstate__(self):
@@ -87,12 +90,14 @@ class LanguageModel:
 
     def backoff(self, word: str) -> np.ndarray:
         """Score of an unknown word by the longest known n-gram at each position."""
-        marked, at, grams = f"\x02{word[:200]}\x03", [], self.grams  # a longer run of letters is no word; its first 200 decide
+        marked, at, grams = f"\x02{word}\x03", [], self.grams
         for i in range(len(marked)):
             for size in range(min(self.max_n, len(marked) - i), 0, -1):
                 if (row := grams.get(marked[i : i + size])) is not None:
                     at.append(row)
                     break
+        if len(at) > PIECE:  # a long run of letters, such as text without spaces
+            return sum(self.gram_rows[at[i : i + PIECE]].sum(0, dtype=np.float64) for i in range(0, len(at), PIECE)) / len(at) * 2 - self.penalty
         return self.gram_rows[at].mean(0) * 2 - self.penalty if at else np.full(len(self.languages), -20.0)
 
     def place(self, word: str) -> int:
@@ -103,6 +108,7 @@ class LanguageModel:
         self.all_rows[at] = self.backoff(word)
         self.index[word] = at
         self.memo.append(word)
+        self.memo_chars += len(word)
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -114,7 +120,7 @@ class LanguageModel:
         found, get = [*Counter(words).items()], self.index.get
         for part in range(0, len(found), MEMO // 2):  # the memo never turns over between a place and its use
             own = found[part : part + MEMO // 2]
-            if len(self.memo) + len(own) > MEMO:
+            if len(self.memo) + len(own) > MEMO or self.memo_chars > MEMO_CHARS:
                 self._forget()
             at = [k if (k := get(w)) is not None else self.place(w) for w, _ in own]
             total += np.array([n for _, n in own], np.float64) @ self.all_rows[at]
@@ -132,7 +138,7 @@ def train(docs: DataFrame, max_docs: int = 20_000, **options) -> LanguageModel:
     total = rows.select("doc_id").count()
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * max_docs / total))
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_WORD), F.lit(0))).alias("word")).where(F.length("word") <= 200)
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_WORD), F.lit(0))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.toLocalIterator():

@@ -209,6 +209,14 @@ def test_language_learns_every_word_of_the_sample(spark):
     assert {w[i : i + 4] for w in words for i in range(4)} <= set(model.grams)
 
 
+def test_language_reads_runs_whole(spark):
+    model = language.LanguageModel({"aa": {"banana": 5, "bandana": 2}, "zz": {"zuzuzu": 5, "zuz": 1}})
+    assert model.predict("banana" * 40 + "zu" * 400)[0] == "zz"
+    assert model.predict("banana" * 40_000 + "zu" * 400_000)[0] == "zz"
+    run = "qx" * 150
+    assert run in language.train(odd(spark, [(1, run, "aa"), (2, "zeta eta", "zz")])).index
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
