@@ -23,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.common import ascii_lower
+from siftmark.session import broadcast_if_small, materialize
 
 ALLOW, BLOCK = "allow", "block"
+#: Mined rules up to which they are literals of the plan; more are joined as a table.
+LITERAL_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.transform(F.reverse(F.split(host, r"\.")), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(F.lower(x), r"\d+", "0")))
     query = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda x: F.concat(F.lit("q:"), x))
-    return F.array_distinct(F.concat(F.slice(labels, 1, 6), F.slice(parts, 1, 6), F.slice(query, 1, 6)))
+    return F.array_distinct(F.concat(labels, parts, query))
 
 
 @dataclass(frozen=True)
@@ -75,25 +78,69 @@ class MinedRule:
     support: int
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_rules: int = 200) -> list[MinedRule]:
-    """Rules from ``tokens, verdict``: the ``max_rules`` most confident of those that pass.
+def mine_table(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> DataFrame:
+    """``body, verdict, confidence, freq``: every rule from ``tokens, verdict`` that passes, less the redundant ones.
 
-    The table of frequent combinations is bounded by the support, not by the corpus.
+    A rule is redundant if a part of it means the same verdict with no less confidence. Frequent
+    tokens that are always found together stand for each other: one of each such class is mined,
+    and its rules are written out for the others. The table is bounded by the support, not by the corpus.
     """
     mark = "verdict="
-    baskets = labelled.where("verdict is not null").select(F.concat("tokens", F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    sets = model.freqItemsets.select(F.filter("items", lambda x: x.startswith(mark)).alias("head"), F.array_sort(F.filter("items", lambda x: ~x.startswith(mark))).alias("body"), "freq").where(F.size("body") > 0).cache()
+    rows = labelled.where("verdict is not null").select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "verdict")
+    rows = materialize(rows, "labelled", "lz4")
+    contents = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("w")).select("w", F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"))
+    places = contents.groupBy("token").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("w").alias("w")).where(F.col("w") >= min_support * rows.count())
+    classes = [r.members for r in places.groupBy("a", "b", "w").agg(F.array_sort(F.collect_list("token")).alias("members")).where("size(members) > 1").collect()]  # frequent tokens only
+
+    others = F.array(*(F.lit(t) for c in classes for t in c[1:])).cast("array<string>")
+    baskets = rows.select(F.concat(F.array_except("tokens", others), F.array(F.concat(F.lit(mark), "verdict"))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    sets = sets.select(F.filter("items", lambda x: x.startswith(mark)).alias("head"), F.array_sort(F.filter("items", lambda x: ~x.startswith(mark))).alias("body"), "freq").where(F.size("body") > 0)
+    sets = materialize(sets, "itemsets", "lz4")
     bodies = sets.where(F.size("head") == 0).select("body", F.col("freq").alias("all"))
     rules = sets.where(F.size("head") == 1).join(bodies, "body").select("body", F.expr(f"substring(head[0], {len(mark) + 1})").alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), "freq")
-    found = rules.where(F.col("confidence") >= min_confidence).orderBy(F.desc("confidence"), F.size("body"), F.desc("freq"), "body").limit(20 * max_rules).collect()
-    sets.unpersist()
-    kept: list[MinedRule] = []
-    for r in found:  # confidence falls along the list: a rule is redundant if a part of it is in
-        own = set(r.body)
-        if len(kept) < max_rules and not any(k.verdict == r.verdict and own.issuperset(k.tokens) for k in kept):
-            kept.append(MinedRule(tuple(r.body), r.verdict, float(r.confidence), int(r.freq)))
-    return kept
+    rules = materialize(rules, "rules", "lz4")
+
+    # by size: the most confidence of any part is that of the parts one token less, or of their parts
+    own = rules.where(F.size("body") == 1).withColumn("best", F.lit(0.0))
+    kept = own
+    for size in range(2, (rules.agg(F.max(F.size("body"))).first()[0] or 1) + 1):
+        upper = own.select(F.col("body").alias("part"), "verdict", F.greatest("confidence", "best").alias("top"))
+        longer = rules.where(F.size("body") == size)
+        parts = longer.select("body", "verdict", F.explode(F.transform("body", lambda t: F.array_remove("body", t))).alias("part"))
+        best = parts.join(upper, ["part", "verdict"]).groupBy("body", "verdict").agg(F.max("top").alias("best"))
+        own = materialize(longer.join(best, ["body", "verdict"]).select(*own.columns), "rules-by-size", "lz4")
+        kept = kept.unionByName(own)
+    kept = kept.where((F.col("confidence") >= min_confidence) & (F.col("best") < F.col("confidence"))).drop("best")
+    if classes:
+        members = F.create_map(*(x for c in classes for x in (F.lit(c[0]), F.array(*map(F.lit, c)))))
+        options = F.transform("body", lambda t: F.coalesce(members[t], F.array(t)))
+        chosen = F.aggregate(options, F.array(F.array().cast("array<string>")), lambda done, ts: F.flatten(F.transform(done, lambda d: F.transform(ts, lambda t: F.concat(d, F.array(t))))))
+        kept = kept.select(F.explode(chosen).alias("body"), "verdict", "confidence", "freq").withColumn("body", F.array_sort("body"))
+    return materialize(kept, "kept-rules", "lz4")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> list[MinedRule]:
+    """The rules of ``mine_table`` as a list."""
+    return _listed(mine_table(labelled, min_support, min_confidence))
+
+
+def _listed(rules: DataFrame) -> list[MinedRule]:
+    return [MinedRule(tuple(r.body), r.verdict, float(r.confidence), int(r.freq)) for r in rules.collect()]
+
+
+def with_mined_verdict(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` with ``mined``, the verdict of the best rule whose tokens are all among ``tokens``; null without one."""
+    if rules.count() <= LITERAL_RULES:
+        return rows.withColumn("mined", mined_verdict(F.col("tokens"), _listed(rules)))
+    spread = rules.select("*", F.explode("body").alias("token"))
+    use = spread.groupBy("token").agg(F.count(F.lit(1)).alias("use"))
+    index = spread.join(use, "token").groupBy(*rules.columns).agg(F.min_by("token", F.struct("use", "token")).alias("token"))
+    asked = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    fits = asked.join(broadcast_if_small(materialize(index, "rule-index", "lz4")), "token").where(F.size(F.array_except("body", "tokens")) == 0)
+    rank = F.struct((-F.col("confidence")).alias("a"), (-F.col("freq")).alias("b"), (F.col("verdict") != BLOCK).alias("c"), "verdict")
+    best = materialize(fits.groupBy("tokens").agg(F.min(rank)["verdict"].alias("mined")), "mined-verdicts", "lz4")
+    return rows.join(broadcast_if_small(best), "tokens", "left")
 
 
 def mined_verdict(found: Column, rules: list[MinedRule]) -> Column:
@@ -117,7 +164,7 @@ def mined_verdict(found: Column, rules: list[MinedRule]) -> Column:
 
 
 def judge(pages: DataFrame, rules: list[HostRule], labelled: DataFrame | None = None, **options) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row; no shuffle but that of the mining.
+    """``page_id, host, path, rule, verdict`` of every row; beyond ``LITERAL_RULES`` mined rules, distinct token sets are shuffled.
 
     ``labelled`` has columns ``url, verdict``; None: the URLs that ``rules`` judge.
     """
@@ -129,6 +176,6 @@ def judge(pages: DataFrame, rules: list[HostRule], labelled: DataFrame | None =
     else:
         split = labelled.select("url", "verdict", host.alias("host"), path.alias("path")).where("host <> ''")
         examples = split.select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "verdict")
-    mined = mined_verdict(F.col("tokens"), mine(examples, **options))
-    own = F.when(F.col("host") != "", mined)
+    rows = with_mined_verdict(rows, mine_table(examples, **options))
+    own = F.when(F.col("host") != "", F.col("mined"))
     return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own, F.lit(ALLOW)).alias("verdict"))

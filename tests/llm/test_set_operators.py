@@ -173,6 +173,27 @@ def test_mined_rules_equal_brute_force(spark):
         assert r.v == (fits[0][-1] if fits else None)
 
 
+def test_frequent_template_hides_no_mined_rule(spark, monkeypatch):
+    """A template of 14 constant tokens has 16,383 combinations of confidence 1; a rule of 0.9 stays beside them."""
+    same = [f"t{i}" for i in range(14)]
+    rows = [(same, "allow")] * 50 + [(["spam", f"u{i}"], "block" if i else "allow") for i in range(10)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(r.tokens, r.verdict): (r.confidence, r.support) for r in url_rules.mine(labelled, 0.05, 0.8)}
+    assert got == {((t,), "allow"): (1.0, 50) for t in same} | {(("spam",), "block"): (0.9, 9)}
+    asked = spark.createDataFrame([(["spam", "x"],), (["t3"],), (["t3", "spam"],), (["x"],), ([],), (["t3"],)], "tokens array<string>")
+    want = Counter([("spam x", "block"), ("t3", "allow"), ("t3", "allow"), ("t3 spam", "allow"), ("x", None), ("", None)])
+    table = url_rules.mine_table(labelled, 0.05, 0.8)
+    for literal in (200, 0):
+        monkeypatch.setattr(url_rules, "LITERAL_RULES", literal)
+        assert Counter((" ".join(r.tokens), r.mined) for r in url_rules.with_mined_verdict(asked, table).collect()) == want
+
+
+def test_every_part_of_a_url_is_a_token(spark):
+    url = "http://a.b.c.d.e.f.g.com/1/2/3/4/5/6/7/last?" + "&".join(f"k{i}=1" for i in range(8))
+    found = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url"), *url_rules.split_url(F.col("url")))).first()[0]
+    assert {"h7:a", "p7:last", "q:k7"} <= set(found)
+
+
 # near-duplicates
 
 
