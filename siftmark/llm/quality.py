@@ -29,13 +29,14 @@ BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class Limits:
     """Rules of the verdict: shares of the characters in words, symbols for each word.
 
-    dup_ngram: most share inside duplicated n-grams, by n (5-grams carry the base rule already).
+    dup_ngram: most share inside duplicated n-grams, by n; below the base rule of 20 % of words in
+    repeated 5-grams, and falling with n, as longer windows repeat only where shorter ones do.
     dup_line: most share inside duplicated lines. symbols: most symbols for each word.
     mean_word: least and most mean length of a word.
     """
 
-    dup_ngram: dict[int, float] = field(default_factory=lambda: {6: 0.24, 8: 0.22, 10: 0.20})
-    dup_line: float = 0.3
+    dup_ngram: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    dup_line: float = 0.1
     symbols: float = 0.1
     mean_word: tuple[float, float] = (1.5, 30.0)
 
@@ -105,7 +106,8 @@ def measure(text: str | None, limits: Limits = Limits()) -> tuple:
         for n, most in limits.dup_ngram.items():
             if not kept:
                 break
-            inside = duplicated(ids, n)  # windows of 6 or more repeat only where 5 do
+            if n != 5:
+                inside = duplicated(ids, n)  # windows of 6 or more repeat only where 5 do
             kept = size[inside].sum() <= most * size.sum()
     line_share = dup_line_chars / chars if chars else 0.0
     if kept:

@@ -164,6 +164,33 @@ def test_quality_clash_of_hashes_is_harmless(monkeypatch):
     assert quality.duplicated(ids, 5).tolist() == [True] * 5 + [False] * 2 + [True] * 5 + [False] * 2
 
 
+def repetitive(n, share, total=4000):
+    """``total`` distinct words of equal length, but for one window of n words put in again and again."""
+    window, rest = [f"r{i:04}" for i in range(n)], [f"w{i:04}" for i in range(total)]
+    times = int(share * total / n)
+    gap = total // times
+    return " ".join(w for k in range(times) for w in window + rest[k * gap : (k + 1) * gap - n])
+
+
+@pytest.mark.parametrize("n,share", [(5, 0.17), (6, 0.145), (7, 0.135), (8, 0.125), (9, 0.115), (10, 0.105)])
+def test_quality_ngram_limits_bind_below_the_base(n, share):
+    text = repetitive(n, share)
+    assert not brute_quality(text)[-1] and not quality.measure(text)[6]
+    only = quality.Limits(dup_ngram={n: quality.Limits().dup_ngram[n]})
+    others = quality.Limits(dup_ngram={k: v for k, v in quality.Limits().dup_ngram.items() if k != n})
+    assert not quality.measure(text, only)[6] and quality.measure(text, others)[6]  # this limit alone decides
+    assert quality.measure(repetitive(n, share - 0.03))[6]
+
+
+def test_quality_line_limit_binds_below_the_base():
+    text = "\n".join(f"a{i:03} b{i:03} c{i:03} d{i:03} e{i:03} f{i:03} g{i:03}\nread more" for i in range(40))
+    assert not brute_quality(text)[-1] and quality.measure(text)[4] == 0 and not quality.measure(text)[6]
+    assert quality.measure(text.replace("read more", "ab"))[6] and quality.measure(text, quality.Limits(dup_line=0.3))[6]
+    words = iter(f"w{i:04}" for i in range(2000))  # a line of six words, 13 % of the text: no limit of n-grams is reached
+    text = "\n".join(" ".join(next(words) for _ in range(40)) + "\nr0001 r0002 r0003 r0004 r0005 r0006" for _ in range(22))
+    assert not brute_quality(text)[-1] and quality.measure(text, quality.Limits(dup_line=1.0))[6] and not quality.measure(text)[6]
+
+
 def test_quality_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op4_quality_rules(spark, SF).collect():
