@@ -226,6 +226,16 @@ def lsh_band_collisions(spark, sf_dir):
     return cluster.collisions(cluster.lsh_bands(_signed_variants(spark, sf_dir)))
 
 
+@query
+def lsh_bands_documents(spark, sf_dir):
+    return cluster.lsh_bands(_signed(spark, sf_dir)).select("id", F.col("band").cast("long").alias("band"), "key")
+
+
+@query
+def lsh_band_collisions_documents(spark, sf_dir):
+    return cluster.collisions(cluster.lsh_bands(_signed(spark, sf_dir)))
+
+
 @query
 def lsh_clusters_variants(spark, sf_dir):
     return cluster.clusters(_signed_variants(spark, sf_dir))
@@ -280,6 +290,14 @@ def cross_corpus_lsh(spark, sf_dir):
     return corpus.cross_lsh(side(F.col("text")), side(F.concat(F.lit("please "), "text")))
 
 
+@query
+def cross_corpus_lsh_documents(spark, sf_dir):
+    """Documents of even doc_id against the others, as in ``cross_corpus_exact``."""
+    docs = table(spark, sf_dir, "documents")
+    even, odd = (cluster.signed(cluster.unique_texts(docs.where(half)), HASHER) for half in ("doc_id % 2 = 0", "doc_id % 2 <> 0"))
+    return corpus.cross_lsh(even, odd)
+
+
 @query
 def perturbation_sweep(spark, sf_dir):
     return perturb.sweep(_benchmark(spark, sf_dir))

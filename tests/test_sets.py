@@ -104,6 +104,29 @@ def test_clusters_equal_plain_union_find(spark, bands):
     assert got == plain_clusters(unique, bands)
 
 
+def plain_bands(texts):
+    """Band number and key to the places of texts."""
+    hasher, found = lexical.LexicalHasher(), defaultdict(set)
+    for i, t in enumerate(texts):
+        signature = hasher.signature(t)
+        for b in range(16):
+            found[b, ":".join(map(str, signature[b * 8 : b * 8 + 8]))].add(i)
+    return found
+
+
+def test_band_queries_cover_all_documents(spark):
+    queries, docs = __spark_entry__.queries(), spark.read.parquet(f"{SF}/documents.parquet").collect()
+    texts = lambda keep: sorted({t for r in docs if keep(r.doc_id) and (t := shingling.normalized_text(r.text))})
+    buckets = plain_bands(texts(lambda d: True))
+    got = [tuple(r) for r in queries["lsh_bands_documents"](spark, SF).select("id", "band", "key").collect()]
+    assert sorted(got) == sorted((i, b, k) for (b, k), ids in buckets.items() for i in ids)
+    got = [tuple(r) for r in queries["lsh_band_collisions_documents"](spark, SF).select("src", "dst").collect()]
+    assert got and sorted(got) == sorted({(i, min(ids)) for ids in buckets.values() for i in ids if i != min(ids)})
+    even, odd = texts(lambda d: d % 2 == 0), plain_bands(texts(lambda d: d % 2))
+    hit = {i for key, ids in plain_bands(even).items() if key in odd for i in ids}
+    assert hit and tuple(queries["cross_corpus_lsh_documents"](spark, SF).first()) == (len(even), len(hit), 100 * len(hit) / len(even))
+
+
 def test_cluster_reports(spark):
     found = __spark_entry__.queries()["lsh_clusters"](spark, SF)
     s = cluster.cluster_stats(found).first()
