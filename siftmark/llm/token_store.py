@@ -19,7 +19,8 @@ two halves; ``encode_segment``/``decode_segment`` work on plain bytes.
 
 Edge cases: a null text is the empty text and yields the end id alone; null doc_ids sort first;
 equal doc_ids are ordered by their ids; an empty table yields an empty store and an empty result;
-extra columns are ignored. Strings of special tokens in a text are ordinary text.
+extra columns are ignored. Strings of special tokens in a text become their ids, as the library
+has it by default; ids are packed in 16 bits if the whole vocabulary fits, else in 32.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.common import bounded_batches
@@ -44,8 +45,10 @@ from siftmark.session import materialize, scratch_path
 #: Bits of the frequencies' total; ids in a segment and in a block; ids for each lane, most lanes.
 PRECISION, SEGMENT, BLOCK, PER_LANE, LANES = 20, 1 << 21, 1 << 18, 128, 2048
 LOW, MAGIC = 1 << 31, b"SMRA1\0\0\0"
-#: Entries of each of the two generations of the pre-token memo of a worker.
-MEMO = 400_000
+#: Entries, and their bytes, beyond which a worker forgets its pre-tokens.
+MEMO, MEMO_CHARS = 1_000_000, 32_000_000
+#: Pre-tokens that are numbered at once.
+PIECES = 1_000_000
 
 
 class Tables:
@@ -171,47 +174,106 @@ def decode_segment(segment: bytes, tables: Tables) -> tuple[list[int | None], li
     return head["docs"], np.split(ids, cuts) if head["docs"] else []
 
 
+def byte_characters() -> str:
+    """The characters by which byte-level models know the bytes: printable ones of Latin-1 as they are, others in order from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, which sees each distinct pre-token once while it is remembered.
 
-    The library's byte-level pre-tokenizer splits by ``pattern`` and merges within a pre-token only,
-    so the ids of a text are those of its pre-tokens in a row (tests hold this against whole texts).
+    The library's byte-level pre-tokenizer splits by a pattern and merges within a pre-token only, so
+    the ids of a text are those of its pre-tokens in a row (tests hold this against whole texts).
+    Remembered pre-tokens are an Arrow array; their ids lie behind each other in one array.
     """
 
-    def __init__(self, definition: str, pattern: str, memo: int = MEMO):
-        self.definition, self.pattern, self.memo = definition, pattern, memo
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.library, self.split = None, regex.compile(pattern).findall
+    def __init__(self, definition: str, memo: int = MEMO, memo_chars: int = MEMO_CHARS):
+        self.definition, self.memo, self.memo_chars = definition, memo, memo_chars
+        self.library = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("split", "library", "new", "old")}
+        return {"definition": self.definition, "memo": self.memo, "memo_chars": self.memo_chars}
 
     def __setstate__(self, state):
-        self.__init__(state["definition"], state["pattern"], state["memo"])
+        self.__init__(**state)
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    def _load(self):
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.definition)
-            self.library.encode_special_tokens = True
-        pieces = self.split(text)
-        if len(self.new) >= self.memo:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        unseen = []
-        for p in set(pieces):
-            if p not in new:
-                if (found := old.get(p)) is None:
-                    unseen.append(p)
-                else:
-                    new[p] = found
-        if unseen:
-            for p, e in zip(unseen, self.library.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-                new[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(new.__getitem__, pieces))
+        return self.library
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text that isn't split here."""
+        return np.array(self._load().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: pa.StringArray) -> None:
+        """Remember distinct pre-tokens, merged by the library's model, which takes bytes as characters."""
+        merge, ids, sizes = self._load().model.tokenize, [], []
+        for piece in pieces.to_pylist():
+            found = merge(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))
+            ids += [t.id for t in found]
+            sizes.append(len(found))
+        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.known = pa.concat_arrays([self.known, pieces])
+
+    def encode_pieces(self, pieces: pa.ListArray) -> list[np.ndarray]:
+        """Ids of texts given as lists of their pre-tokens; a null list is an empty one."""
+        if len(self.known) > self.memo or self.known.nbytes > self.memo_chars:
+            self._forget()
+        encoded = pieces.flatten().dictionary_encode()
+        at = pc.index_in(encoded.dictionary, value_set=self.known)
+        if at.null_count:
+            first = len(self.known)
+            self._learn(encoded.dictionary.filter(at.is_null()))
+            new = np.asarray(at.is_null())
+            at = at.fill_null(0).to_numpy().copy()
+            at[new] = np.arange(first, len(self.known))
+        else:
+            at = at.to_numpy()
+        at = at[encoded.indices.to_numpy()]
+        begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
+        cuts = np.concatenate([[0], ends])[offsets].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def split_column(text: Column, definition: str, pattern: str) -> Column:
+    r"""Pre-tokens of a text, made in the JVM; null where only the library may split it.
+
+    That is where the definition isn't plain byte-level, where a text has the content of an added
+    token, or a character that the JVM's Unicode version doesn't know: its class may differ.
+    ``\s`` and ``\S`` of the pattern are Unicode's white space, as in the library.
+    """
+    parts = json.loads(definition)
+    level = parts.get("pre_tokenizer") or {}
+    plain = parts.get("normalizer") is None and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout") and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
+    able = F.lit(bool(plain)) & ~text.rlike(r"\p{Cn}")
+    for token in parts.get("added_tokens") or []:
+        able = able & ~F.contains(text, F.lit(token["content"]))
+    in_jvm = pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+    return F.when(able, F.regexp_extract_all(text, F.lit(in_jvm), F.lit(0)))
+
+
+def id_width(definition: str, end_id: int) -> str:
+    """Type of packed ids: 16 bits if every id of the vocabulary fits, else 32."""
+    parts = json.loads(definition)
+    ids = [*parts["model"]["vocab"].values(), *(t["id"] for t in parts.get("added_tokens") or []), end_id]
+    return "<u2" if max(ids) < 1 << 16 else "<u4"
 
 
 def _tokenize(shared, end_id: int, width: str):
@@ -220,27 +282,44 @@ def _tokenize(shared, end_id: int, width: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         encoder, pack = shared.value, zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [pack.compress(np.frombuffer(encoder.encode_bytes(t.as_py() or "") + end, "<u4").astype(width).tobytes()) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        end = np.array([end_id], width).tobytes()
+        for rows in _gathered(batches):
+            split = encoder.encode_pieces(rows.column("pieces"))
+            found = [x if t is None else encoder.whole(t) for x, t in zip(split, rows.column("text").to_pylist(), strict=True)]
+            ids = [pack.compress(x.astype(width).tobytes() + end) for x in found]
+            yield pa.record_batch([rows.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have ``PIECES`` pre-tokens: the more, the fewer distinct ones in all."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("pieces").values) + batch.num_rows
+        if size >= PIECES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def unpack_ids(data: bytes, width: str) -> np.ndarray:
     """Ids of one row of the token table."""
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), width)
 
 
-def token_table(docs: DataFrame, definition: str, pattern: str, end_id: int, width: str = "<u2") -> DataFrame:
+def token_table(docs: DataFrame, definition: str, pattern: str, end_id: int, width: str) -> DataFrame:
     """``doc_id, ids`` with the end id appended; ids packed as ``width`` and compressed."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(definition, pattern))
-    return docs.select("doc_id", "text").mapInArrow(_tokenize(shared, end_id, width), "doc_id long, ids binary")
+    shared = docs.sparkSession.sparkContext.broadcast(LibraryEncoder(definition))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", split_column(text, definition, pattern).alias("pieces"), text.alias("text"))
+    return rows.select("doc_id", "pieces", F.when(F.col("pieces").isNull(), F.col("text")).alias("text")).mapInArrow(_tokenize(shared, end_id, width), "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame, width: str = "<u2") -> np.ndarray:
+def count_ids(tokens: DataFrame, width: str) -> np.ndarray:
     """How often each id occurs in the whole token table: partial counts by task, summed by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +364,13 @@ def _segments(shared, width: str):
     return run
 
 
-def write_segments(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int, width: str = "<u2") -> None:
+def write_segments(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int) -> None:
     """Encode ``docs`` and write the store: ``path/segments`` and ``path/table``.
 
     One shuffle, of packed ids, by ranges of doc_id; a partition's segments follow each other and
     partitions are in the order of their ranges.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, id_width(definition, end_id)
     tokens = materialize(token_table(docs, definition, pattern, end_id, width), "ids", codec="uncompressed")
     tables = Tables(count_ids(tokens, width))
     shared = spark.sparkContext.broadcast(tables)
