@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes beyond which a side is joined by shuffle instead of broadcast (see ``broadcast_if_small``).
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Tasks over which ``lookup`` deals the rows of one key.
+SALTS = 16
 
 _scratch: dict[str, str] = {}
 
@@ -23,13 +25,15 @@ _scratch: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (single-node tests) a temporary
-    folder of the driver is used.
+    The setting is read from the session. Where it is unset, a local session gets a temporary folder
+    of its machine; on a cluster, whose executors don't share that, RuntimeError is raised.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _scratch:
         base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="siftmark-")
         _scratch[app] = f"{base.rstrip('/')}/siftmark-{app}"
@@ -69,10 +73,28 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``max_rows`` rows and its files at most ``max_bytes``, else leave it alone.
 
-    ``df`` should be a materialised table: cheap to count, of known size.
+    The bounds are ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` if none are given. ``df`` should be a materialised table: cheap to count, of known size.
     """
+    return F.broadcast(df) if _is_small(df, max_rows, max_bytes) else df
+
+
+def _is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= max_bytes and df.limit(max_rows + 1).count() <= max_rows else df
+    most = BROADCAST_ROWS if max_rows is None else max_rows
+    return size <= (BROADCAST_BYTES if max_bytes is None else max_bytes) and df.limit(most + 1).count() <= most
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``rows``, whose keys may be hot, with a materialised table of one row (or few) for each key.
+
+    A small table is broadcast. Of a larger one each row is sent ``salts`` times, and the rows of a
+    key are dealt over as many tasks by a hash of the columns ``spread``.
+    """
+    if _is_small(found):
+        return rows.join(F.broadcast(found), on, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copied = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
