@@ -32,3 +32,19 @@ def remainder(column: str, divisor: int) -> Column:
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``rows`` has, whatever its case."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(rows: DataFrame) -> list[Column]:
+    """All columns by quoted names, which may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]

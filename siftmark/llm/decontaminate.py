@@ -5,19 +5,20 @@ r"""Benchmark decontamination by a distributed positional inverted index (DataFr
 2. Each *window* of an item (``SIZE`` consecutive words; a shorter item is one window) names its
    ``RAREST`` rarest positions by counts of the postings; a window with a term that the corpus lacks
    cannot occur and is left out.
-3. A posting shifted by the position in the item gives a diagonal. Lists are intersected: a window
-   is a candidate on a diagonal that all its rarest positions agree on.
-4. Candidates are compared with the document's words, all of them, so matches are exact phrases.
+3. A posting shifted by the position in the item gives a diagonal. Lists are intersected, document
+   and item by item: a window is a candidate for a phrase on a diagonal that all its rarest positions
+   agree on, and for a proximity match near diagonals of theirs that lie at most ``slop`` apart.
+4. Candidates are compared with the document's words, all of them. A phrase is exact; a proximity
+   match has each word of the window, in place but for a shift of 0 to ``slop`` words.
 
-``proximity_matches`` reads the same index with a tolerance between the diagonals.
-
-Lower-casing of other than A-Z never splits or joins words and maps equal words to equal words, so
-the index uses Spark's fast ``lower``; step 4 compares words in which A-Z alone are lower-cased.
+The index lower-cases whole texts by Spark's fast ``lower`` and maps the final form of sigma, the only
+letter whose lower case depends on what is around a word, to the other one. So words that are equal
+once A-Z are lower-cased have equal terms; step 4 compares words in which A-Z alone are lower-cased.
 
 Edge cases: null and empty texts have no words; null or empty items have no window; items of the
 same id are one item for counting, each of its texts gives windows; rows that share doc_id and text
 share their result; null ids are kept as they are; an empty benchmark marks nothing; extra columns
-are ignored.
+are ignored, or carried along by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import ascii_lower
-from siftmark.session import broadcast_if_small, materialize
+from siftmark.llm.common import ascii_lower, columns_of, fresh
+from siftmark.session import broadcast_if_small, lookup, materialize
 
-SIZE, RAREST = 10, 2
+#: Words of a window, how many of its rarest positions are looked up, and the tolerance of proximity matches.
+SIZE, RAREST, SLOP = 10, 2, 5
 #: Stands behind a document's last word; no word has a space.
 END = " end"
 #: Fixed value: characters of a word, after and before lower-casing of A-Z.
@@ -40,19 +42,24 @@ def _words(text: Column, pattern: str = LOWERED) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def _terms(text: Column) -> Column:
+    """Words as the index has them."""
+    return _words(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")))
+
+
 class Index:
     """Windows of a benchmark, and postings of its terms."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int = RAREST):
         items = benchmark.where("text is not null").select("item_id", "text").distinct()
         # a text of an item is told from others by its hash
-        items = items.select("item_id", F.xxhash64("text").alias("variant"), _words(F.lower("text")).alias("terms"), _words(ascii_lower(F.col("text"))).alias("words"))
+        items = items.select("item_id", F.xxhash64("text").alias("variant"), _terms(F.col("text")).alias("terms"), _words(ascii_lower(F.col("text"))).alias("words"))
         self.items = materialize(items.where(F.size("terms") > 0), "items", "lz4")
         spark = docs.sparkSession
         vocabulary = self.items.select(F.explode("terms").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("term"))
         vocabulary = materialize(vocabulary.unionByName(spark.createDataFrame([(END, -1)], "word string, term long")), "vocabulary", "lz4")
-        places = F.posexplode(F.array_append(_words(F.lower("text")), END)).alias("place", "word")
-        every = docs.select("doc_id", F.xxhash64("text").alias("mark"), places).join(broadcast_if_small(vocabulary), "word")
+        places = F.posexplode(F.array_append(_terms(F.col("text")), END)).alias("place", "word")
+        every = lookup(docs.select("doc_id", F.xxhash64("text").alias("mark"), places), vocabulary, ["word"], ["doc_id", "mark", "place"])
         self.postings = materialize(every.select("doc_id", "mark", "place", "term"), "postings", "lz4")
         counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         counted = materialize(vocabulary.join(counts, "term").select(F.col("word").alias("term"), F.col("term").alias("number"), "n"), "term-counts", "lz4")
@@ -71,16 +78,36 @@ class Index:
 
     def hits(self) -> DataFrame:
         """``doc_id, mark, item_id, variant, at, place``: postings where an item names their term."""
-        return self.postings.join(broadcast_if_small(self.anchors), "term").select("doc_id", "mark", "item_id", "variant", "at", "place")
-
-    def candidates(self) -> DataFrame:
-        """``doc_id, mark, item_id, variant, start, long, place``: windows whose rarest terms agree."""
-        lines = self.hits().withColumn("diagonal", F.col("place") - F.col("at")).groupBy("doc_id", "mark", "item_id", "variant", "diagonal")
-        lines = lines.agg(F.collect_set("at").alias("seen"))  # at most as many as the item has words
+        return lookup(self.postings, self.anchors, ["term"], ["doc_id", "mark", "place"]).select("doc_id", "mark", "item_id", "variant", "at", "place")
+
+    def candidates(self, slop: int | None) -> DataFrame:
+        """``doc_id, mark, item_id, variant, start, long, low, high``: windows whose rarest terms agree.
+
+        ``low`` to ``high`` are places where the window may begin: one for a phrase, several for a
+        proximity match (none of these if ``slop`` is None).
+        """
+        step = (slop or 0) + 1
+        met = self.hits().groupBy("doc_id", "mark", "item_id", "variant")
+        # at most the document's words times the places of a term in the item
+        met = met.agg(F.collect_set(F.struct("at", (F.col("place") - F.col("at")).alias("diagonal"))).alias("seen"))
         of_item = self.windows.groupBy("item_id", "variant").agg(F.collect_list(F.struct("start", "long", F.col("anchors.at").alias("need"))).alias("windows"))
-        met = _null_safe(lines, broadcast_if_small(materialize(of_item, "item-windows", "lz4")), ["item_id", "variant"])
-        met = met.select("doc_id", "mark", "item_id", "variant", "diagonal", F.explode(F.filter("windows", lambda w: F.size(F.array_except(w["need"], F.col("seen"))) == 0)).alias("w"))
-        return met.select("doc_id", "mark", "item_id", "variant", "w.start", "w.long", (F.col("diagonal") + F.col("w.start")).alias("place")).where("place >= 0")
+        met = _null_safe(met, broadcast_if_small(materialize(of_item, "item-windows", "lz4")), ["item_id", "variant"])
+        found_at = F.transform("seen", lambda x: x["at"])
+        able = F.filter("windows", lambda w: F.size(F.array_except(w["need"], found_at)) == 0)
+        met = met.select("doc_id", "mark", "item_id", "variant", "seen", F.explode(able).alias("w"))
+        diagonals = lambda at: F.transform(F.filter("seen", lambda x: x["at"] == at), lambda x: x["diagonal"].cast("int"))
+        met = met.select("doc_id", "mark", "item_id", "variant", "w.start", "w.long", F.transform("w.need", diagonals).alias("lists"))
+        rest = F.slice("lists", 2, F.size("lists"))
+        exact = F.aggregate(rest, F.array_distinct(F.col("lists")[0]), lambda d, e: F.array_intersect(d, e))
+        wide = F.transform(exact, lambda d: F.struct(d.alias("low"), d.alias("high")))
+        if slop is not None:
+            # a cell is slop + 1 diagonals wide; lists meet in the cell of the least diagonal or the next
+            cell = lambda d: F.floor(d / step).cast("int")
+            cells = lambda ds, shifts: F.array_distinct(F.flatten(F.transform(ds, lambda d: F.array(*(cell(d) + k for k in shifts)))))
+            both = F.aggregate(rest, cells(F.col("lists")[0], (-1, 0)), lambda c, e: F.array_intersect(c, cells(e, (-1, 0))))
+            wide = F.concat(wide, F.transform(both, lambda c: F.struct((c * step).alias("low"), (c * step + slop).alias("high"))))
+        met = met.select("doc_id", "mark", "item_id", "variant", "start", "long", F.explode(wide).alias("d"))
+        return met.select("doc_id", "mark", "item_id", "variant", "start", "long", (F.col("d.low") + F.col("start")).alias("low"), (F.col("d.high") + F.col("start")).alias("high")).where("low >= 0 or high > low")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -93,51 +120,52 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(right, on, how).drop(*(f"_right_{k}" for k in keys))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int = RAREST) -> DataFrame:
-    """``doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated, items, places`` of every row.
+def _in_place(words: str, sought: str, slop: int) -> str:
+    """SQL: whether, beginning somewhere in the first slop + 1 of ``words``, each word of ``sought`` is in place or up to ``slop`` behind it."""
+    within = f"array_contains(slice({words}, b + i + 1, {slop + 1}), t)"
+    return f"exists(sequence(0, {slop}), b -> size(filter({sought}, (t, i) -> not coalesce({within}, false))) = 0)"
+
 
-    ``items`` are the ids found, as sorted strings; ``places`` the numbers (from 0) of words hit;
-    ``mark`` the hash of the text.
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int = RAREST, slop: int | None = SLOP) -> DataFrame:
+    """``doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items_sha256, items, places, near_items``.
+
+    One row for each row. ``items`` are the ids found, as sorted strings; ``places`` the numbers
+    (from 0) of words hit; ``near_items`` ids with a proximity match, phrases included (the same as
+    ``items`` if ``slop`` is None); ``mark`` the hash of the text.
     """
     index = Index(docs, benchmark, size, rarest)
     # windows of one document: in proportion to its own words
-    asked = index.candidates().groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "variant", "start", "long", "place")).alias("asked"))
+    asked = index.candidates(slop).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "variant", "start", "long", "low", "high")).alias("asked"))
     asked = materialize(asked, "candidates", "lz4").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked")
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     texts = texts.join(broadcast_if_small(asked, 50_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     words = texts.select("doc_id", "mark", "asked", _words(F.col("text"), ANY_CASE).alias("words"))
-    phrases = F.transform("asked", lambda c: F.struct(c["item_id"], c["variant"], c["start"], c["place"], c["long"], ascii_lower(F.array_join(F.slice("words", c["place"] + 1, c["long"]), " ")).alias("phrase")))
-    shown = words.select("doc_id", "mark", F.explode(phrases).alias("c")).select("doc_id", "mark", "c.*")
+    begin = lambda c: F.greatest(c["low"], F.lit(0))
+    spelt = lambda c: F.split(ascii_lower(F.array_join(F.slice("words", begin(c) + 1, c["long"] + 2 * (c["high"] - c["low"])), " ")), " ")
+    phrase = lambda c: F.concat(F.array_repeat(F.lit(""), begin(c) - c["low"]), spelt(c))  # a place before the text has no word
+    shown = words.select("doc_id", "mark", F.explode(F.transform("asked", lambda c: F.struct(c["item_id"], c["variant"], c["start"], begin(c).alias("place"), c["long"], (c["high"] > c["low"]).alias("near"), phrase(c).alias("phrase")))).alias("c"))
     sought = _null_safe(index.windows.select("item_id", "variant", "start", "long"), index.items.select("item_id", "variant", "words"), ["item_id", "variant"])
-    sought = sought.select("item_id", "variant", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("long")), " ").alias("sought"))
-    exact = _null_safe(shown, sought, ["item_id", "variant", "start"]).where("phrase = sought")
-    found = exact.groupBy("doc_id", "mark").agg(
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("place", F.col("place") + F.col("long") - 1))))).alias("places"),
+    sought = materialize(sought.select("item_id", "variant", "start", F.slice("words", F.col("start") + 1, F.col("long")).alias("sought")), "sought", "lz4")
+    met = _null_safe(shown.select("doc_id", "mark", "c.*"), broadcast_if_small(sought), ["item_id", "variant", "start"])
+    met = met.where(F.when(F.col("near"), F.expr(_in_place("phrase", "sought", slop or 0))).otherwise(F.col("phrase") == F.col("sought")))
+    exact, ids = ~F.col("near"), F.col("item_id").cast("string")
+    found = met.groupBy("doc_id", "mark").agg(
+        F.array_sort(F.collect_set(F.when(exact, ids))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(exact, F.sequence("place", F.col("place") + F.col("long") - 1)))))).alias("places"),
+        F.array_sort(F.collect_set(ids)).alias("near_items"),
     )
-    none = F.array().cast("array<string>"), F.array().cast("array<int>")
-    rows = _null_safe(index.lengths(), found, ["doc_id", "mark"], "left").withColumns({"items": F.coalesce("items", none[0]), "places": F.coalesce("places", none[1])})
+    none = {"items": "array<string>", "places": "array<int>", "near_items": "array<string>"}
+    rows = _null_safe(index.lengths(), found, ["doc_id", "mark"], "left").withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()})
+    count = lambda c: F.size(c).cast("long")
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
     return rows.select(
-        "doc_id", "mark", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"), "items", "places"
+        "doc_id", "mark", "n_words", count("places").alias("n_hit"), count("items").alias("n_items"), digest("items").alias("items_sha256"), (F.size("places") > 0).alias("contaminated"),
+        count("near_items").alias("n_near_items"), digest("near_items").alias("near_items_sha256"), "items", "places", "near_items",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    bad = matches(docs, benchmark).where("contaminated").select("doc_id", "mark").distinct()
-    bad = materialize(bad, "contaminated", "lz4").select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark"))
-    return docs.join(broadcast_if_small(bad), docs.doc_id.eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs.text) == F.col("_bad_mark")), "left_anti")
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = SIZE, rarest: int = RAREST) -> DataFrame:
-    """``doc_id, item_id, n_windows``: windows whose rarest terms all lie on diagonals at most ``slop`` apart."""
-    index = Index(docs, benchmark, size, rarest)
-    near = index.hits().withColumn("diagonal", F.col("place") - F.col("at"))
-    # a group of diagonals is slop + 1 wide; each diagonal also joins the group before, so close ones meet
-    cell = F.floor(F.col("diagonal") / (slop + 1))
-    near = near.withColumn("cell", F.explode(F.array(cell, cell - 1))).groupBy("doc_id", "mark", "item_id", "variant", "cell")
-    near = near.agg(F.collect_set(F.struct("at", "diagonal")).alias("seen"))
-    met = _null_safe(near, index.windows, ["item_id", "variant"])
-    close = F.exists("seen", lambda h: F.forall("anchors", lambda a: F.exists("seen", lambda x: (x["at"] == a["at"]) & (x["diagonal"] >= h["diagonal"]) & (x["diagonal"] <= h["diagonal"] + slop))))
-    met = met.where(close).select("doc_id", "item_id", "variant", "start").distinct()
-    return met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    """The documents without a hit (proximity matches are no hits), with all their columns."""
+    doc, mark = fresh(docs, "bad_id", "bad_mark")
+    bad = matches(docs.select("doc_id", "text"), benchmark, slop=None).where("contaminated").select(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).distinct()
+    return docs.join(broadcast_if_small(materialize(bad, "contaminated", "lz4")), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(mark)), "left_anti").select(columns_of(docs))

@@ -7,7 +7,7 @@ r"""DuckDB SQL for the operators that SQL can express, each by a plainer method
 
 from __future__ import annotations
 
-from siftmark.llm.decontaminate import SIZE
+from siftmark.llm.decontaminate import SIZE, SLOP
 from siftmark.llm.line_dedup import EDIT_WORDS, EXACT_WORDS
 
 _WHITE = r"[^\x20\x09-\x0D]+"
@@ -52,9 +52,18 @@ sizes AS MATERIALIZED (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM worded, sizes WHERE len(w) >= n),
 hits AS MATERIALIZED (SELECT p.doc_id, p.i, p.n, x.item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM places) p JOIN windows x ON x.n = p.n AND x.s = p.s),
 words_hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM worded LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+spelt AS MATERIALIZED (SELECT item_id, n, string_split(s, ' ') AS t FROM windows),
+counts AS MATERIALIZED (SELECT word, count(*) AS k FROM (SELECT unnest(w) AS word FROM worded) GROUP BY word),
+rare AS MATERIALIZED (SELECT item_id, n, t, min((k, off)) AS pick FROM (SELECT item_id, n, t, unnest(t) AS word, unnest(range(n)) AS off FROM spelt) LEFT JOIN counts USING (word) GROUP BY ALL HAVING count(k) = n),
+spots AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM worded),
+begun AS (SELECT DISTINCT doc_id, item_id, n, t, at - pick[2] - back AS b FROM rare JOIN spots ON word = t[pick[2] + 1], range({SLOP + 1}) x(back)),
+near AS MATERIALIZED (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM begun JOIN worded USING (doc_id) WHERE b + n + {SLOP} > 0
+  AND len(list_filter(range(n), lambda o: NOT coalesce(list_contains(w[greatest(b + o + 1, 1):greatest(b + o + 1 + {SLOP}, 0)], t[o + 1]), false))) = 0),
+nearby AS (SELECT doc_id, count(*) AS n_near_items, sha256(string_agg(item, ',' ORDER BY item)) AS near_items_sha256 FROM near GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near_items, 0) AS n_near_items, coalesce(near_items_sha256, sha256('')) AS near_items_sha256
+FROM worded LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6, "op9_minhash": OP9, "op10_decontaminate": OP10}
