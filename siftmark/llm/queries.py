@@ -50,8 +50,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` (of the text that is left) of every document."""
-    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines")))
-    return docs.select("doc_id", "n_lines", F.col("dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    docs = line_dedup.dedup_lines(docs, counted="n_dropped")
+    return docs.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark", "items", "places")
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark", "items", "places", "near_items")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
