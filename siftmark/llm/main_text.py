@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from siftmark.llm.boosting import BoostedTrees
 from siftmark.llm.common import bounded_batches
-from siftmark.llm.html_tree import HEADINGS, Node, parse
+from siftmark.llm.html_tree import CONTROLS, HEADINGS, Node, parse
 
 #: Attribute tokens, by what they tell. Matched as words or with digits and dashes around.
 HINTS = {
@@ -47,7 +48,7 @@ TOKENS = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
 COMPOUND = re.compile("|".join(f"(?P<k{k}>{p})" for k, p in ((1, "nav|menu|crumb"), (2, "foot|masthead"), (3, "sidebar|related|widget"), (4, "advert|sponsor|promo|adsense"), (5, "cookie|consent|newsletter|popup|subscri"), (7, "comment|discuss|disqus"), (8, "share|social"))))
 GROUPS = [
     {"#text"}, {"p"}, set(HEADINGS), {"li", "dt", "dd"}, {"ul", "ol", "dl", "menu"}, {"div"}, {"section"}, {"article"}, {"main"}, {"nav"},
-    {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "search", "dialog"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"blockquote", "pre", "figure", "figcaption", "details", "summary"},
+    {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "search", "dialog"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"blockquote", "pre", "figure", "figcaption", "details", "summary"}, set(CONTROLS),
 ]
 GROUP = {tag: k for k, tags in enumerate(GROUPS) for tag in tags}
 KINDS, N_HINTS = len(GROUPS) + 1, len(HINTS)
@@ -123,7 +124,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             x[i, 2 * KINDS + 2 * N_HINTS + k] = 1
         siblings = v.parent.children if v.parent is not None else [v]
         c = 3 * KINDS + 2 * N_HINTS
-        x[i, c : c + 4] = min(v.depth, 50), np.log1p(len(siblings)), np.log1p(blocks[i]), np.log1p(runs[i])
+        x[i, c : c + 4] = np.log1p(v.depth), np.log1p(len(siblings)), np.log1p(blocks[i]), np.log1p(runs[i])
         x[i, c + 4 : c + 8] = np.log1p(chars[i]), links[i] / max(chars[i], 1), chars[i] / max(runs[i], 1), stops[i] / max(chars[i], 1) * 100
         x[i, c + 8 : c + 11] = chars[i] / total, before[i] / total, (chars[p] - chars[i]) / total if p >= 0 else 0
     # statistics of siblings: their share of equal tags, mean length, link density, place among them
@@ -134,9 +135,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             own = chars[at]
             share = links[at].sum() / max(own.sum(), 1)
             mean = np.log1p(own.mean())
-            tags = [kind[j] for j in at]
+            alike = Counter(kind[j] for j in at)
             for k, j in enumerate(at):
-                x[j, c : c + 5] = tags.count(tags[k]) / len(at) if len(at) < 64 else 1, mean, share, k / len(at), np.log1p(own[k - 1]) if k else -1
+                x[j, c : c + 5] = alike[kind[j]] / len(at), mean, share, k / len(at), np.log1p(own[k - 1]) if k else -1
                 x[j, c + 5] = np.log1p(own[k + 1]) if k + 1 < len(at) else -1
     x[:, c + 6] = np.log1p(total)
     return x
@@ -242,7 +243,9 @@ class _Maker:
                 parts.append((self.tag("table", "".join(f"<tr><td>{self.words(2)}</td><td>{self.words(3)}</td></tr>" for _ in range(r.randint(2, 5)))), True))
             elif kind < 0.94:
                 parts.append((self.advert(), False))
-            elif kind < 0.97:
+            elif kind < 0.955:
+                parts.append((self.control(), False))
+            elif kind < 0.975:
                 parts.append((self.tag("aside", self.words(r.randint(4, 30)), "related", "pullout", "promo", "sidebar"), False))
             else:
                 parts.append((self.tag("div", self.paragraph(), "section", "text", "chapter"), True))
@@ -254,6 +257,15 @@ class _Maker:
             parts.append((self.comments(), False))
         return parts
 
+    def control(self) -> str:
+        """A button, a selection, a drawing or a film with text for browsers that can't show it."""
+        r = self.r
+        options = "".join(f"<option>{self.words(r.randint(1, 2))}</option>" for _ in range(r.randint(2, 5)))
+        return r.choice([
+            self.tag("button", self.words(r.randint(1, 3)), "like", "btn", "share"), self.tag("select", options),
+            f"<svg><text>{self.words(r.randint(1, 3))}</text></svg>", self.tag(r.choice(["video", "audio", "object", "canvas"]), self.words(r.randint(3, 10))),
+        ])
+
     def advert(self) -> str:
         return self.tag(self.r.choice(["div", "div", "aside", "section", "p"]), self.r.choice([self.words(self.r.randint(3, 40)), self.paragraph()]), "ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner-ad")
 
