@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage.
 
-Words are numbered within the text; for each n-gram length a polynomial rolling hash over the
-numbers is taken in numpy, duplicated hashes are found by sorting, and the characters inside
-duplicated n-grams (and duplicated lines) are measured as a share of all characters in words.
+Words are numbered within the text. Prefix sums of a polynomial over the numbers are taken once; the
+hash of a window of any length rolls out of them as a difference of two. Duplicated hashes are found
+by sorting, and the characters inside duplicated n-grams (and duplicated lines) are measured as a
+share of all characters in words.
 
 Edge cases: null and empty texts have no words, all counts are 0, the base fails and they are not
 kept. Whole texts are read, whatever their length. Rows are independent: repeated rows repeat their
@@ -41,23 +42,38 @@ class Limits:
     mean_word: tuple[float, float] = (1.5, 30.0)
 
 
-def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hash of each window of n words, modulo 2**64."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * SPREAD
-    x ^= x >> np.uint64(29)
-    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
-    for k in range(n):
-        h = h * BASE + x[k : k + len(h)]
-    return h
+class Rolling:
+    """Hashes of the windows of a sequence of numbers, modulo 2**64.
+
+    With x of the numbers and S its sums of x[j] * BASE**j, the window of n at i has the hash
+    (S[i + n] - S[i]) * BASE**-i: equal windows have equal hashes wherever they are.
+    """
+
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        if len(Rolling.up) <= n:  # powers are kept for later texts
+            size = max(n + 1, 2 * len(Rolling.up))
+            Rolling.up, Rolling.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (BASE, Rolling.inverse))
+        x = (ids.astype(np.uint64) + np.uint64(1)) * SPREAD
+        x ^= x >> np.uint64(29)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(x * Rolling.up[:n], dtype=np.uint64)])
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hash of each window of n."""
+        count = max(0, len(self.sums) - n)
+        return (self.sums[n : n + count] - self.sums[:count]) * Rolling.down[:count]
 
 
-def duplicated(ids: np.ndarray, n: int) -> np.ndarray:
+def duplicated(ids: np.ndarray, n: int, rolling: Rolling | None = None) -> np.ndarray:
     """Which words lie in a window of n words that occurs twice or more, the first included.
 
     Equal hashes are compared word by word; if one ever clashes, windows are sorted whole.
     """
     inside = np.zeros(len(ids), bool)
-    h = window_hashes(ids, n)
+    h = (rolling or Rolling(ids)).windows(n)
     if len(h) < 2:
         return inside
     order = np.argsort(h, kind="stable")
@@ -96,19 +112,20 @@ def measure(text: str | None, limits: Limits = Limits()) -> tuple:
                 seen.add(line)
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
-    inside = duplicated(ids, 5)
+    rolling = Rolling(ids)
+    inside = duplicated(ids, 5, rolling)
     repeats = int(inside.sum())
     failed = len(words) < 10 or 100 * repeats > 20 * len(words)
     kept, share = not failed, 0.0
-    if inside.any():
-        size = np.array([len(w) for w in words])  # bytes stand for characters in shares
-        share = float(size[inside].sum() / size.sum())
+    if repeats:
+        size = np.array([len(w.decode("utf-8", "surrogatepass")) for w in number])[ids]
+        share = float(size[inside].sum() / chars)
         for n, most in limits.dup_ngram.items():
             if not kept:
                 break
             if n != 5:
-                inside = duplicated(ids, n)  # windows of 6 or more repeat only where 5 do
-            kept = size[inside].sum() <= most * size.sum()
+                inside = duplicated(ids, n, rolling)
+            kept = size[inside].sum() <= most * chars
     line_share = dup_line_chars / chars if chars else 0.0
     if kept:
         mean = chars / len(words)
