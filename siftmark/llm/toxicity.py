@@ -1,21 +1,26 @@
 """Toxicity by weak supervision.
 
 1. *Voters.* Terms (words, and word beginnings of 4 to 7 letters, so that inflected forms count)
-   are mined from labelled training documents by smoothed log-odds. They are dealt to lexicon
-   voters by kind and strength; pattern voters look at how many distinct terms a text has, how
-   densely, and whether it has none at all. A voter says toxic, clean or nothing.
+   are mined from labelled training documents by smoothed log-odds and dealt to lexicon voters by
+   kind and, within a kind, by strength. Density voters look at how many distinct terms a text has
+   and how densely. Pattern voters read the text itself: letters masked by signs, shouting in
+   capitals, runs of exclamation marks, drawn-out letters, two terms side by side. A voter says
+   toxic, clean or nothing.
 2. *Label model.* A generative model with a latent label: each voter has an accuracy and a rate of
    abstaining by class, and correlated voters are joined by a tree of pairwise dependences (the
-   maximum spanning tree of their mutual information given the label). EM fits it; labels of
-   training rows start it and anchor the class balance.
+   maximum spanning tree of their mutual information given the label). EM fits it from the votes
+   alone: it starts from their majority, ranked so that the share of toxic rows is that of the
+   training labels, which are used for nothing else here.
 3. *Classifier.* A logistic regression on term counts and votes is trained on the posterior labels.
 
 The fit sees at most ``max_docs`` labelled rows (expected; taken by a hash of doc_id, a documented
-bound) whose crc32(doc_id) modulo 4 isn't 2; scoring reads every whole text.
+bound) whose crc32(doc_id) modulo 4 isn't 2, and at most ``max_terms`` terms, a size of the model;
+the driver gets their counts, never texts. Scoring reads every whole text.
 
-Edge cases: null and empty texts get the score of a text without words; null labels are ignored;
-several labels of a document all count; without labels of both classes the score is 0 for all;
-repeated rows repeat their score; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null and empty texts get the score of a text without words; labels other than 0 and 1
+are ignored; several labels of a document all count; without labels of both classes the score is 0
+for all; repeated rows repeat their score; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +40,13 @@ from siftmark.llm.common import bounded_batches, remainder
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SPARK_WORD = r"\p{L}[\p{L}\p{M}]*"
 THRESHOLD = 0.3
+#: Patterns of a text: what is looked for, and how often in a hundred words it takes for a vote of toxic (none: of nothing).
+PATTERNS = {
+    "masked": (regex.compile(r"\p{L}[*#@$%!]+\p{L}|\p{L}\*{2,}"), 1.0),
+    "shouting": (regex.compile(r"\b\p{Lu}{4,}\b"), 10.0),
+    "exclaiming": (regex.compile(r"[!?]{2,}"), 2.0),
+    "drawn-out": (regex.compile(r"(\p{L})\1{3,}"), 1.0),
+}
 #: Lengths of word beginnings; a term of this kind ends in *.
 STEMS = (4, 5, 6, 7)
 TOXIC, ABSTAIN, CLEAN = 1, 0, -1
@@ -48,31 +60,36 @@ class Lexicon:
         self.terms = sorted(weights, key=lambda t: (-weights[t], t))
         self.index = {t: i for i, t in enumerate(self.terms)}
         self.heads = {t[:4] for t in self.terms}
-        self.short = {t for t in self.terms if len(t) < 4}
         kinds = [[t for t in self.terms if not t.endswith("*")], [t for t in self.terms if t.endswith("*")]]
         self.voter_of: dict[int, int] = {}
         self.names: list[str] = []
         for kind, terms in zip(("words", "stems"), kinds, strict=True):
-            for g in range(groups):
-                for t in terms[g::groups]:
+            for g in range(groups):  # the strongest terms first
+                for t in terms[g * len(terms) // groups : (g + 1) * len(terms) // groups]:
                     self.voter_of[self.index[t]] = len(self.names)
                 self.names.append(f"{kind}-{g}")
         self.lexicons = len(self.names)
-        self.names += ["distinct-2", "dense", "strong", "none"]
-
-    def hits(self, text: str | None) -> tuple[Counter, int]:
-        """Counts of terms, and the number of words."""
-        words = WORD.findall(text.lower()) if text else []
-        heads, found = self.heads, Counter()
-        for w in [w for w in words if w[:4] in heads]:
-            if (i := self.index.get(w)) is not None:
-                found[i] += 1
-            for n in STEMS:
-                if len(w) >= n and (i := self.index.get(w[:n] + "*")) is not None:
-                    found[i] += 1
-        return found, len(words)
-
-    def votes(self, found: Counter, words: int) -> np.ndarray:
+        self.names += ["distinct", "dense", "strong", "beside", *PATTERNS]
+
+    def hits(self, text: str | None) -> tuple[Counter, int, list[bool]]:
+        """Counts of terms, the number of words, and which pattern voters say toxic."""
+        if not text:
+            return Counter(), 0, [False] * (1 + len(PATTERNS))
+        words = WORD.findall(text.lower())
+        heads, found, beside, last = self.heads, Counter(), False, -2
+        for k, w in [x for x in enumerate(words) if x[1][:4] in heads]:
+            own = [w, *(w[:n] + "*" for n in STEMS if len(w) >= n)]
+            own = [i for t in own if (i := self.index.get(t)) is not None]
+            if own:
+                found.update(own)
+                beside, last = beside or last == k - 1, k
+        shown = [beside]
+        for pattern, least in PATTERNS.values():
+            need = max(1, math.ceil(least * len(words) / 100))
+            shown.append(any(k + 1 >= need for k, _ in enumerate(pattern.finditer(text))))
+        return found, len(words), shown
+
+    def votes(self, found: Counter, words: int, shown: list[bool]) -> np.ndarray:
         """One vote of each voter."""
         out = np.zeros(len(self.names), np.int8)
         for i in found:
@@ -83,7 +100,7 @@ class Lexicon:
         out[k] = TOXIC if len(found) >= 2 else CLEAN if not found else ABSTAIN
         out[k + 1] = TOXIC if total >= 0.01 * words and total else CLEAN if total < 0.001 * words or not total else ABSTAIN
         out[k + 2] = TOXIC if strong >= 3 else CLEAN if strong < 1 else ABSTAIN
-        out[k + 3] = CLEAN if not found else ABSTAIN
+        out[k + 3 :] = np.where(shown, TOXIC, ABSTAIN)
         return out
 
     def features(self, found: Counter, words: int, votes: np.ndarray) -> tuple[list[int], list[float]]:
@@ -96,7 +113,7 @@ class Lexicon:
         for v in np.flatnonzero(votes):
             at.append(base + int(v))
             value.append(float(votes[v]))
-        mass = sum(self.weights[self.terms[i]] * min(n, 5) for i, n in found.items())
+        mass = sum(self.weights[self.terms[i]] * math.log2(1 + n) for i, n in found.items())
         at += [base + len(self.names), base + len(self.names) + 1]
         value += [math.log1p(mass), math.log1p(100 * mass / max(words, 20))]
         return at, value
@@ -106,6 +123,13 @@ class Lexicon:
         return len(self.terms) + len(self.names) + 2
 
 
+def majority(votes: np.ndarray, share: float) -> np.ndarray:
+    """Beginning of EM: the most toxic rows by their votes have a high probability, ``share`` of all as labels have it."""
+    total = votes.astype(int).sum(1)
+    cut = np.quantile(total, 1 - share)
+    return np.where(total > cut, 0.95, np.where(total == cut, 0.5, 0.05)) if total.max() > total.min() else np.full(len(votes), share)
+
+
 class LabelModel:
     """Naive Bayes over voters with a tree of pairwise dependences, fitted by EM."""
 
@@ -180,8 +204,8 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         if self.lexicon is None:
             return 0.0
-        found, words = self.lexicon.hits(text)
-        at, value = self.lexicon.features(found, words, self.lexicon.votes(found, words))
+        found, words, shown = self.lexicon.hits(text)
+        at, value = self.lexicon.features(found, words, self.lexicon.votes(found, words, shown))
         z = float(np.dot(self.weights[at], value) + self.weights[-1])
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
@@ -193,12 +217,27 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *stems))
 
 
+def _counted(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``terms, times, words, shown`` of each text, counted on the executors."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shared.value.hits(t.as_py()) for t in batch.column("text")]
+            columns = [list(found) for found, _, _ in got], [list(found.values()) for found, _, _ in got], [n for _, n, _ in got], [s for _, _, s in got]
+            kinds = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.bool_())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["terms", "times", "words", "shown"])
+
+    bounded_batches(rows.sparkSession)
+    return rows.select("text").mapInArrow(run, "terms array<int>, times array<long>, words long, shown array<boolean>")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms: int = 1_500, min_docs: int = 4, least: float = 1.2) -> ToxicityModel:
     """Fit on at most about ``max_docs`` labelled rows (crc32(doc_id) modulo 4 not 2).
 
     ``max_terms`` terms found in ``min_docs`` documents or more, with log-odds of ``least`` or more.
     """
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (remainder("doc_id", 4) != 2))
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (remainder("doc_id", 4) != 2))
     balance = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(balance.values())
     if len(balance) < 2:
@@ -221,13 +260,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms:
         if not best:
             return ToxicityModel()
         lexicon = Lexicon({r.term: float(r.odds) for r in best})
-        gathered = [(r.toxic, lexicon.hits(r.text)) for r in rows.select("toxic", "text").toLocalIterator()]
+        gathered = [(Counter(dict(zip(r.terms, r.times, strict=True))), r.words, r.shown) for r in _counted(rows, lexicon).toLocalIterator()]
     finally:
         rows.unpersist()
-    votes = np.stack([lexicon.votes(*h) for _, h in gathered])
-    start = np.array([t for t, _ in gathered], float)
-    posterior = LabelModel(votes, start).posterior(votes)
-    sparse = [lexicon.features(*h, v) for (_, h), v in zip(gathered, votes, strict=True)]
+    votes = np.stack([lexicon.votes(*h) for h in gathered])
+    posterior = LabelModel(votes, majority(votes, share)).posterior(votes)
+    sparse = [lexicon.features(found, words, v) for (found, words, _), v in zip(gathered, votes, strict=True)]
     return ToxicityModel(lexicon, fit_logistic(sparse, posterior, lexicon.width))
 
 
