@@ -10,16 +10,26 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftmark import session
 from siftmark.llm import decontaminate, line_dedup, minhash, queries, url_rules
+from siftmark.operators import numbering
 from siftmark.operators.components import connected_components
 
 SF = "/root/testdata/sf0.001"
-CLASH = "doc_id long, text string, lang string, n_words int, mark string, line int, id string, component string"
+CLASH = "doc_id long, text string, lang string, n_words int, mark string, line int, id string, component string, _id int, _mark int, _hash int, DROP int, _drop int, gone int, _gone int, bad_id int, _bad_id int, bad_mark int, _bad_mark int, dropped string, `a.b` int"
 
 
 def frame(spark, rows):
     """Documents with columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, "en", 1, "m", 2, "i", "c") for r in rows], CLASH)
+    return spark.createDataFrame([(*r, *OTHERS) for r in rows], CLASH)
+
+
+OTHERS = ("en", 1, "m", 2, "i", "c", *range(11), "d", 12)
+
+
+def carried(row):
+    """Whether a row still has the other columns it came with."""
+    return tuple(row)[2:21] == OTHERS
 
 
 # line dedup
@@ -91,16 +101,39 @@ def test_line_dedup_equals_brute_force(spark, seed):
 def test_line_dedup_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(1, None), (2, ""), (None, "one two three four five"), (3, "one two three four five\nshort"), (4, long), (5, long.replace("w1500 ", "")), (6, long.replace("w7 ", "w7 new ")), (7, "a b c d e\n\na b c d e"), (7, "a b c d e\n\na b c d e")]
-    out = line_dedup.dedup_lines(frame(spark, rows))
-    assert out.columns == [*frame(spark, rows).columns, "dropped"]
+    out = line_dedup.dedup_lines(frame(spark, rows), counted="n_dropped")
+    assert out.columns == [*frame(spark, rows).columns, "n_dropped"] and all(map(carried, out.collect()))
+    assert line_dedup.dedup_lines(frame(spark, rows)).columns == frame(spark, rows).columns
     got = Counter((r.doc_id, r.text) for r in out.collect())
     assert got == Counter([(1, None), (2, ""), (None, "one two three four five"), (3, "short"), (4, long), (5, ""), (6, ""), (7, "a b c d e\n"), (7, "a b c d e\n")])
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_is_native(spark):
-    plan = line_dedup.dedup_lines(frame(spark, random_lines(1)))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def plans_of(monkeypatch, module, run):
+    """Plans of everything that an operator writes on its way, and of its result."""
+    plans, write = [], session.materialize
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *rest)
+
+    for place in (module, numbering):
+        if hasattr(place, "materialize"):
+            monkeypatch.setattr(place, "materialize", noted)
+    plans.append(run()._jdf.queryExecution().executedPlan().toString())
+    return plans
+
+
+def test_line_dedup_is_native(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plans = plans_of(monkeypatch, line_dedup, lambda: line_dedup.dedup_lines(docs))
+    assert len(plans) > 8 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+
+
+def test_url_rules_are_native(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plans = plans_of(monkeypatch, url_rules, lambda: url_rules.judge(pages, queries.HOST_RULES))
+    assert len(plans) > 4 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 def test_one_edit(spark):
@@ -188,6 +221,48 @@ def test_frequent_template_hides_no_mined_rule(spark, monkeypatch):
         assert Counter((" ".join(r.tokens), r.mined) for r in url_rules.with_mined_verdict(asked, table).collect()) == want
 
 
+def url_tokens(url):
+    """Tokens of a URL, read anew."""
+    host, path, _ = brute_url(url)
+    found = {f"h{i}:{x}" for i, x in enumerate(host.split(".")[::-1])}
+    found |= {f"p{i}:" + re.sub("[0-9]+", "0", x.lower()) for i, x in enumerate([x for x in path.split("/") if x])}
+    return found | {f"q:{x}" for x in re.findall("[?&]([^=&#]+)=", url or "")}
+
+
+def brute_verdicts(urls, min_support=0.005, min_confidence=0.8):
+    """Verdicts of URLs by every combination of tokens that the URLs judged by hand have."""
+    labelled = [(frozenset(url_tokens(u)), best[0]) for u in urls if (best := brute_url(u)[2])]
+    times = Counter((frozenset(c), v) for found, v in labelled for n in range(1, len(found) + 1) for c in itertools.combinations(sorted(found), n))
+    seen = Counter()
+    for (body, _), k in times.items():
+        seen[body] += k
+    passed = {(body, v): (k / seen[body], k) for (body, v), k in times.items() if k >= min_support * len(labelled)}
+    parts = lambda body: (frozenset(c) for n in range(1, len(body)) for c in itertools.combinations(body, n))
+    kept = [(-c, -k, v != "block", v, body) for (body, v), (c, k) in passed.items() if c >= min_confidence and not any(passed.get((part, v), (0,))[0] >= c for part in parts(body))]
+    ranked, out = sorted(kept, key=lambda r: r[:4]), []
+    for u in urls:
+        host, _, best = brute_url(u)
+        own = next((v for _, _, _, v, body in ranked if body <= url_tokens(u)), None) if host else None
+        out.append(best[0] if best else own or "allow")
+    return out
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(7)
+    urls = [f"http://{rng.choice(['a.', 'b.', ''])}{rng.choice(['example.com', 'shop.com', 'x.net', 'y.org', 'z.io'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['spam', 'news', '7', '81'])}{rng.choice(['', '?id=3', '?ref=1&id=2'])}" for _ in range(400)] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for support in (0.005, 0.05):
+        got = [r.verdict for r in url_rules.judge(pages, queries.HOST_RULES, min_support=support).orderBy("page_id").collect()]
+        assert got == brute_verdicts(urls, support)
+
+
+def test_url_query_verdicts_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = sorted((r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect())
+    got = [(r.page_id, r.verdict) for r in queries.op8_url_rules(spark, sf).orderBy("page_id").collect()]
+    assert got == list(zip([p for p, _ in pages], brute_verdicts([u for _, u in pages]), strict=True))
+
+
 def test_every_part_of_a_url_is_a_token(spark):
     url = "http://a.b.c.d.e.f.g.com/1/2/3/4/5/6/7/last?" + "&".join(f"k{i}=1" for i in range(8))
     found = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url"), *url_rules.split_url(F.col("url")))).first()[0]
@@ -259,6 +334,7 @@ def test_near_duplicate_edge_cases(spark):
     got = Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 85, 24).collect()))
     assert got == Counter([(9, 4, 4, False), (4, 4, 4, True), (4, 4, 4, True), (None, 4, None, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 2, False), (2, 1, 2, True), (10, 1, 10, True), (11, 1, 11, True)])
     kept = minhash.keep_one(frame(spark, rows))
+    assert all(map(carried, kept.collect()))
     assert kept.columns == frame(spark, rows).columns and Counter(r.doc_id for r in kept.collect()) == Counter([4, 4, None, 5, 6, 7, 2, 10, 11])
     assert minhash.near_duplicates(frame(spark, []), 85, 24).count() == 0
 
@@ -273,6 +349,52 @@ def test_circulant_signature_estimates_similarity():
     assert abs(np.mean(errors)) < 0.01
 
 
+def test_bands_of_circulant_signatures_find_similar_sets():
+    """Coordinates of one signature depend on each other, so the recall is measured: pairs at the threshold that share no band."""
+    rng, missed = np.random.default_rng(9), 0
+    for percent, bands in ((85, 24), (80, 32)):
+        for _ in range(1500):
+            n = int(rng.integers(40, 400))
+            k = int(np.ceil(2 * n * percent / (100 + percent)))  # shared by two sets of n
+            both = rng.integers(0, 2**63, 2 * n - k).astype(np.uint64)
+            a, b = both[:n], both[n - k :]
+            missed += not any(x == y for x, y in zip(minhash.band_values(a, bands), minhash.band_values(b, bands), strict=True))
+    assert missed <= 6  # of 3,000: a recall of 0.998
+
+
+def test_rows_of_one_id_link_by_each_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(7, one), (7, two), (3, one + " more"), (9, two + " more"), (5, "something else"), (8, two), (2, "alone here")]
+    got = Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 85, 48).collect()))
+    assert got == Counter([(7, 26, 3, False), (7, 26, 3, False), (3, 27, 3, True), (9, 27, 3, False), (5, 1, 5, True), (8, 26, 3, False), (2, 1, 2, True)])
+
+
+@pytest.fixture
+def nothing_is_small(spark, monkeypatch):
+    """As on large inputs: no side is broadcast, and every hub is dealt over tasks."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(minhash, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "BROADCAST_DOCUMENTS", -1)
+    monkeypatch.setattr(decontaminate, "broadcast_if_small", lambda df, *_: df)
+    yield
+    spark.conf.set(key, old)
+
+
+def test_operators_without_broadcasts(spark, nothing_is_small):
+    rows = random_lines(11)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == brute_lines(rows)
+    rows = random_docs(11)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 85, 48).collect()} == brute_components(rows, 85)
+    docs, items = contaminated(11)
+    found = decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert "BroadcastHashJoin" not in plan and hits_of(got) == brute_hits(docs, items) and near_of(got) == brute_near(docs, items)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)] + [(5000, 5000), (None, 3)]
@@ -337,33 +459,83 @@ def contaminated(seed):
     return docs, [*items, (3, "another text of item three"), (99, None), (98, "...")]
 
 
+def brute_near(docs, items, size=10, slop=decontaminate.SLOP):
+    """Ids of items with a window whose words all are in place but for a shift of 0 to ``slop``."""
+    windows = {(item, tuple(w[i : i + size])) for item, text in items if (w := terms(text)) for i in range(max(1, len(w) - size + 1))}
+    out = []
+    for doc, text in docs:
+        at = defaultdict(list)
+        w = terms(text)
+        for i, word in enumerate(w):
+            at[word].append(i)
+        found = {item for item, x in windows if any(all(any(b + o <= p <= b + o + slop for p in at[t]) for o, t in enumerate(x)) for b in range(-slop, len(w)))}
+        out.append((doc, sorted(str(x) for x in found if x is not None)))
+    return Counter((d, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()) for d, ids in out)
+
+
+def hits_of(found):
+    return Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found)
+
+
+def near_of(found):
+    return Counter((r.doc_id, r.n_near_items, r.near_items_sha256) for r in found)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_decontamination_equals_brute_force(spark, seed):
     docs, items = contaminated(seed)
     benchmark = spark.createDataFrame([(*x, "t") for x in items], "item_id long, text string, term string")
-    got = decontaminate.matches(frame(spark, docs), benchmark).drop("mark", "items", "places")
-    assert Counter(map(tuple, got.collect())) == brute_hits(docs, items)
+    got = decontaminate.matches(frame(spark, docs), benchmark).collect()
+    assert hits_of(got) == brute_hits(docs, items) and near_of(got) == brute_near(docs, items)
 
 
 def test_decontamination_edge_cases(spark):
     docs = [(1, None), (2, ""), (None, "alpha beta"), (3, "alpha beta"), (3, "alpha beta"), (4, "alpha " * 5000 + "beta"), (5, "beta alpha")]
-    benchmark = spark.createDataFrame([(7, "Alpha, BETA!"), (10, "alpha beta")], "item_id long, text string")
-    got = decontaminate.matches(frame(spark, docs), benchmark).drop("mark", "items", "places")
-    assert Counter(map(tuple, got.collect())) == brute_hits(docs, [(7, "Alpha, BETA!"), (10, "alpha beta")])
+    items = [(7, "Alpha, BETA!"), (10, "alpha beta")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(frame(spark, docs), benchmark).collect()
+    assert hits_of(got) == brute_hits(docs, items) and near_of(got) == brute_near(docs, items)
     kept = decontaminate.clean(frame(spark, docs), benchmark)
     assert kept.columns == frame(spark, docs).columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 5])
+    assert all(map(carried, kept.collect()))
     assert decontaminate.matches(frame(spark, docs), benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.matches(frame(spark, []), benchmark).count() == 0
 
 
+def test_decontamination_folds_a_word_alike_wherever_it_is(spark):
+    """A capital sigma's lower case hangs on characters beyond the word; equal words must stay equal."""
+    item = "one two three four five six seven eight ΟΔΟΣ ΕΝΑ"
+    docs = [(1, item), (2, item.replace("ΟΔΟΣ ", "ΟΔΟΣ.")), (3, item.replace("ΟΔΟΣ ", "ΟΔΟΣ'")), (4, item.replace("Σ", "ς")), (5, item.lower())]
+    got = decontaminate.matches(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert hits_of(got) == brute_hits(docs, [(1, item)]) and [r.n_hit for r in sorted(got)] == [10, 10, 10, 0, 0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_decontamination_of_cased_letters(spark, seed):
+    """Cased letters beyond ASCII with ASCII punctuation between and inside words."""
+    rng = random.Random(seed)
+    letters = "ΣσςΑαİıIiKkÅåǅßẞŉΐΪ\u0307\u0301éÉ"
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(30)]
+    glue = lambda: rng.choice([" ", ".", ":", "'", "-", ". ", "\n"])
+    items = [(i, "".join(w + glue() for w in rng.choices(made, k=rng.choice([2, 4, 12])))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = terms(rng.choice(items)[1])
+        w = [x.upper() if rng.random() < 0.05 else x for x in rng.choices(made, k=3) + w + rng.choices(made, k=3)]
+        docs.append((d, "".join(x + glue() for x in w)))
+    got = decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert hits_of(got) == brute_hits(docs, items) and near_of(got) == brute_near(docs, items)
+
+
 def test_proximity(spark):
-    benchmark = spark.createDataFrame([(1, "red fox green owl")], "item_id long, text string")
-    docs = frame(spark, [(1, "a red fox sees one green owl"), (2, "red fox green owl"), (3, "owl green fox red " + "z " * 20 + "red"), (4, "red " + "z " * 30 + "fox green owl")])
-    got = {r.doc_id for r in decontaminate.proximity_matches(docs, benchmark, slop=3, rarest=4).collect()}
-    assert got == {1, 2}
+    items = [(1, "red fox green owl")]
+    docs = [(1, "a red fox sees one green owl"), (2, "red fox green owl"), (3, "owl green fox red " + "z " * 20 + "red"), (4, "red " + "z " * 30 + "fox green owl"), (5, "fox red green owl"), (6, "red owl"), (7, "red fox cat owl")]
+    found = decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), rarest=4, slop=3).collect()
+    assert near_of(found) == brute_near(docs, items, slop=3)
+    assert {r.doc_id for r in found if r.n_near_items} == {1, 2, 5} and {r.doc_id for r in found if r.n_items} == {2}
 
 
-def test_decontamination_is_native(spark):
-    docs, items = contaminated(0)
-    plan = decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_decontamination_is_native(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    plans = plans_of(monkeypatch, decontaminate, lambda: decontaminate.matches(docs, benchmark))
+    assert len(plans) > 6 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
