@@ -8,10 +8,11 @@ import sys
 from siftmark.functions.lexical import digest, similarity, similarity_text
 
 
-def _session():
+def _session(scratch: str | None):
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("siftmark").config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
+    builder = SparkSession.builder.appName("siftmark").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    return (builder if scratch is None else builder.config("spark.checkpoint.dir", scratch)).getOrCreate()
 
 
 def cluster_report(spark, path: str, column: str | None, limit: int | None, bands: int) -> tuple[int, list[str]]:
@@ -67,6 +68,7 @@ def family_report(spark, name: str, labelled, hasher=None) -> list[str]:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="siftmark", description=__doc__)
+    parser.add_argument("--scratch", help="folder for intermediate tables that all executors share (else the session's spark.checkpoint.dir)")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("digest", help="print the lexical digest of a text").add_argument("text")
     for name, what in (("compare", "similarity of two texts"), ("compare-digests", "similarity of two lexical digests")):
@@ -98,7 +100,7 @@ def main(argv: list[str] | None = None) -> int:
     from siftmark.operators.numbering import with_index
     from siftmark.sources import loaders
 
-    spark = _session()
+    spark = _session(a.scratch)
     if a.command == "cluster":
         code, lines = cluster_report(spark, a.path, a.column, a.limit, a.bands)
         print("\n".join(lines))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +13,8 @@ from siftmark.functions.hashing import coefficients, minhash
 from siftmark.functions.shingling import shingle_set
 
 SCHEME = "plm1"
+#: A number of slots, and the hex digits of one; longer ones are no slots of ours, and overflow.
+COUNT, SLOT_DIGITS = re.compile("[0-9]{1,9}"), re.compile("[0-9a-fA-F]{1,15}")
 
 
 class LexicalHasher:
@@ -58,6 +62,8 @@ def parse_digest(digest: str) -> list[int]:
     tag, *rest = digest.split(":")
     if tag != SCHEME or len(rest) < 2:
         raise ValueError(f"not a {SCHEME} digest")
+    if not COUNT.fullmatch(rest[0]) or not all(map(SLOT_DIGITS.fullmatch, rest[1:])):
+        raise ValueError(f"not a {SCHEME} digest: its number of slots or a slot is malformed")
     slots = [int(x, 16) for x in rest[1:]]
     if int(rest[0]) != len(slots):
         raise ValueError(f"{rest[0]} slots declared, {len(slots)} found")
@@ -87,8 +93,10 @@ def similarity_text(a: str | None, b: str | None) -> float:
 def parsed(digests: Column, strict: bool = True) -> Column:
     """Column of slots. A malformed digest raises, or is null if not ``strict``; null stays null."""
     parts = F.split(digests, ":")
-    slots = F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.conv(x, 16, 10).cast("long"))
-    declared = F.try_element_at(parts, F.lit(2)).try_cast("int")
+    digits = F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
+    slots = F.transform(digits, lambda x: F.when(x.rlike(f"^{SLOT_DIGITS.pattern}$"), F.conv(x, 16, 10).cast("long")))
+    declared = F.try_element_at(parts, F.lit(2))
+    declared = F.when(declared.rlike(f"^{COUNT.pattern}$"), declared.try_cast("int"))
     bad = (F.element_at(parts, 1) != SCHEME) | (F.size(parts) < 3) | declared.isNull() | (declared != F.size(slots)) | F.exists(slots, lambda v: v.isNull())
     error = F.raise_error(F.concat(F.lit(f"not a valid {SCHEME} digest: "), F.substring(digests, 1, 60))).cast("array<bigint>") if strict else F.lit(None).cast("array<bigint>")
     return F.when(digests.isNull(), F.lit(None).cast("array<bigint>")).when(bad, error).otherwise(slots)

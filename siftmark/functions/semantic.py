@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import struct
 from collections.abc import Callable, Iterable, Sequence
 from fractions import Fraction
@@ -19,6 +21,10 @@ PLAIN, CENTRED = "pls1", "pls1c"
 #: Fixed value: the model that the default hasher names.
 DEFAULT_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
 Embed = Callable[[str], Sequence[float]]
+#: A number of bits (of at most nine digits), and whole bytes of hex digits.
+COUNT, BYTES = re.compile("[0-9]{1,9}"), re.compile("(?:[0-9a-fA-F]{2})*")
+#: Stand-ins for exponents of numbers that aren't finite, in the sums of ``reference_mean``.
+NAN, UP, DOWN = 100_001, 100_002, 100_003
 
 
 def clean_model_id(model_id: str | None) -> str:
@@ -104,11 +110,14 @@ class SemanticHasher:
 
 
 def _iterate(embed: Embed):
+    """Embeds batches of texts, by the function's attribute ``many`` (texts to vectors) if it has one."""
     from collections.abc import Iterator
 
+    many = getattr(embed, "many", None) or (lambda texts: [embed(t) for t in texts])
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: [float(x) for x in embed(t or "")])
+            yield pd.Series([[float(x) for x in v] for v in many([t or "" for t in batch])], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run
@@ -129,6 +138,8 @@ def parse_semantic_digest(digest: str) -> tuple[str, str, str | None, int, list[
     parts = digest.split(":")
     if not (parts[0] == PLAIN and len(parts) == 4 or parts[0] == CENTRED and len(parts) == 5):
         raise ValueError("not a semantic digest")
+    if not COUNT.fullmatch(parts[-2]) or not BYTES.fullmatch(parts[-1]):
+        raise ValueError("not a semantic digest: its number of bits or its hex digits are malformed")
     n = int(parts[-2])
     return parts[0], parts[1], parts[2] if parts[0] == CENTRED else None, n, hex_to_bits(parts[-1], n)
 
@@ -161,7 +172,8 @@ def reference_mean(vectors: DataFrame, column: str) -> list[float]:
     """Mean of a column of vectors, rounded once from the exact sum, however rows are partitioned.
 
     Each task adds the mantissas that share an exponent as whole numbers, Spark adds those, and the
-    driver gets at most a row for each dimension and exponent. Null vectors are left out.
+    driver gets at most a row for each dimension and exponent. Null vectors are left out; numbers
+    that aren't finite make the mean of their dimension infinite or NaN, as in a plain sum.
     """
 
     def run(batches):
@@ -172,7 +184,13 @@ def reference_mean(vectors: DataFrame, column: str) -> list[float]:
             for v in rows:
                 lengths[len(v)] = lengths.get(len(v), 0) + 1
             if len(lengths) == 1 and rows:
-                mantissa, exponent = np.frexp(np.array(rows, np.float64))
+                values = np.array(rows, np.float64)
+                if not (finite := np.isfinite(values)).all():
+                    for code, odd in ((NAN, np.isnan(values)), (UP, values == np.inf), (DOWN, values == -np.inf)):
+                        for d in np.flatnonzero(odd.any(0)).tolist():
+                            sums[d, code] = sums.get((d, code), 0) + int(odd[:, d].sum())
+                    values = np.where(finite, values, 0.0)
+                mantissa, exponent = np.frexp(values)
                 whole = (mantissa * 2.0**53).astype(np.int64)
                 for d in range(whole.shape[1]):
                     for e in np.unique(exponent[:, d]):
@@ -192,11 +210,21 @@ def reference_mean(vectors: DataFrame, column: str) -> list[float]:
     if len(lengths) > 1:
         raise ValueError("vectors of different dimensions")
     ((dim, n),) = lengths.items()
-    exact = [Fraction(0)] * dim
+    exact, endless = [Fraction(0)] * dim, {}
     for r in rows:
-        if r.axis >= 0:
+        if (odd := {NAN: math.nan, UP: math.inf, DOWN: -math.inf}.get(r.exponent)) is not None and r.axis >= 0:
+            endless[r.axis] = endless.get(r.axis, 0.0) + odd
+        elif r.axis >= 0:
             exact[r.axis] += int(r.total) * Fraction(2) ** (r.exponent - 53)
-    return [float(x) / n for x in exact]
+    return [endless[d] if d in endless else _rounded(x) / n for d, x in enumerate(exact)]
+
+
+def _rounded(x: Fraction) -> float:
+    """The nearest double; infinite beyond the largest."""
+    try:
+        return float(x)
+    except OverflowError:
+        return math.copysign(math.inf, x)
 
 
 def dimension(vectors: DataFrame, column: str) -> int:
@@ -211,7 +239,8 @@ def parsed(digests: Column, strict: bool = True) -> Column:
     """Struct (scheme, model_id, ref_id, n_bits, hex); a malformed digest raises, or is null if not ``strict``."""
     p = F.split(digests, ":")
     scheme, n = F.element_at(p, 1), F.size(p)
-    good = ((scheme == PLAIN) & (n == 4)) | ((scheme == CENTRED) & (n == 5))
+    shaped = ((scheme == PLAIN) & (n == 4)) | ((scheme == CENTRED) & (n == 5))
+    good = shaped & F.try_element_at(p, n - 1).rlike(f"^{COUNT.pattern}$") & F.element_at(p, n).rlike(f"^{BYTES.pattern}$")
     value = F.struct(
         scheme.alias("scheme"),
         F.try_element_at(p, F.lit(2)).alias("model_id"),

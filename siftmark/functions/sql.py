@@ -12,9 +12,10 @@ from siftmark.functions.shingling import normalized_text
 
 
 def register(spark: SparkSession, hasher: LexicalHasher | None = None) -> list[str]:
-    """Register ``lexical_digest, lexical_signature, normalized_text, digest_compare, try_digest_compare``.
+    """Register ``lexical_digest, lexical_signature, lexical_slots, normalized_text, digest_compare, try_digest_compare``.
 
-    They are Arrow functions: the JVM forms are the column factories of this package.
+    They are Arrow functions over Python, for SQL text alone: a session can register no column
+    expression under a name. DataFrames should use the column factories of this package, which stay in the JVM.
     """
     own = hasher or LexicalHasher()
 

@@ -9,7 +9,7 @@ from siftmark.functions.lexical import LexicalHasher
 from siftmark.functions.text import normalized
 from siftmark.operators.components import connected_components
 from siftmark.operators.numbering import with_index
-from siftmark.session import materialize
+from siftmark.session import lookup, materialize
 
 BANDS = 16
 
@@ -38,7 +38,7 @@ def collisions(banded: DataFrame) -> DataFrame:
     """``src, dst``: each member of a bucket with its least one; a star, so as many as members."""
     # buckets hold ids only, and the least id of each comes from partial aggregates
     least = banded.groupBy("band", "key").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return banded.join(least, ["band", "key"]).where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
+    return lookup(banded, materialize(least, "buckets"), ["band", "key"], ["id"]).where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
 
 
 def clusters(signatures: DataFrame, bands: int = BANDS, slots: int = 128) -> DataFrame:
@@ -71,5 +71,6 @@ def top_clusters(clustered: DataFrame, texts: DataFrame, most: int = 3, examples
 
 
 def _first_members(members: DataFrame, examples: int) -> DataFrame:
+    # Spark cuts each partition to the first ranks before the shuffle (WindowGroupLimit), so no task gets a whole cluster
     ranked = members.withColumn("rank", F.expr("row_number() over (partition by cluster_id order by id)"))
     return ranked.where(F.col("rank") <= examples).drop("rank")

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from siftmark.session import materialize
 
 
+# The joins on ``u`` bring the edges of a large star's centre to one key, against one row of ``least``:
+# adaptive execution splits such a partition of the edges and copies that row.
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.functions.lexical import LexicalHasher, slot_similarity
-from siftmark.session import materialize
+from siftmark.session import broadcast_if_small, materialize
 
 MAX_ITEMS = 50_000
 
@@ -32,10 +32,11 @@ def pair_similarities(digests: DataFrame, similarity: Callable[[Column, Column],
     rows = materialize(digests.select("id", "label", "digest"), "digests")
     if (n := rows.count()) > max_items:
         raise ValueError(f"{n} items make too many pairs; the limit is {max_items} items")
-    rows = rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism))
-    a = rows.select(F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("digest").alias("digest_a"))
+    spread = rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism))
+    a = spread.select(F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("digest").alias("digest_a"))
     b = rows.select(F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("digest").alias("digest_b"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # max_items bounds what is broadcast
+    b = broadcast_if_small(b, max_items)  # wide digests are too many bytes before they are too many rows
+    pairs = a.join(b, F.col("a") < F.col("b"))
     return pairs.select("a", "b", similarity(F.col("digest_a"), F.col("digest_b")).alias("sim"), F.col("label_a").eqNullSafe(F.col("label_b")).alias("is_intra"))
 
 
@@ -60,12 +61,17 @@ def threshold_curve(hist: DataFrame, steps: int = 100) -> DataFrame:
 
 
 def metrics_at(hist: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``threshold, precision, recall, f1, tp, fp, fn, tn`` at each threshold."""
-    spark = hist.sparkSession
-    table = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    count = lambda kind, over: F.coalesce(F.sum(F.when((F.col("sim") >= F.col("threshold")) == over, F.col(kind))), F.lit(0))
-    # a row for each threshold and value of similarity: both are few
-    counts = table.join(F.broadcast(hist), F.lit(True), "left").groupBy("threshold").agg(count("intra", True).alias("tp"), count("inter", True).alias("fp"), count("intra", False).alias("fn"), count("inter", False).alias("tn"))
+    """``threshold, precision, recall, f1, tp, fp, fn, tn`` at each threshold.
+
+    Similarities are counted by the thresholds they reach, so the histogram, which may be as long as
+    the pairs, is read once; what is joined has a row for each number of thresholds.
+    """
+    spark, cuts = hist.sparkSession, sorted(map(float, thresholds))
+    table = spark.createDataFrame([(t, sum(c <= t for c in cuts)) for t in map(float, thresholds)], "threshold double, place long")
+    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= F.col("sim"))).alias("reached")
+    by_place = hist.select(reached, "intra", "inter").groupBy("reached").agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
+    count = lambda kind, over: F.coalesce(F.sum(F.when((F.col("reached") >= F.col("place")) == over, F.col(kind))), F.lit(0))
+    counts = table.join(F.broadcast(by_place), F.lit(True), "left").groupBy("threshold").agg(count("intra", True).alias("tp"), count("inter", True).alias("fp"), count("intra", False).alias("fn"), count("inter", False).alias("tn"))
     ratio = lambda x, y: F.when(y == 0, 0.0).otherwise(x / y)
     rated = counts.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     both = F.col("precision") + F.col("recall")

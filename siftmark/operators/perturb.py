@@ -12,6 +12,8 @@ from siftmark.functions.text import tokens
 
 KINDS = ("insert", "delete", "substitute", "reorder")
 EVERY = 5
+#: Slots and words of a shingle that the sweep looks at.
+SETTINGS = ((128, 3), (128, 2), (64, 3), (256, 3))
 
 
 def edited(words: Column, kind: str, every: int = EVERY) -> Column:
@@ -29,7 +31,7 @@ def edited(words: Column, kind: str, every: int = EVERY) -> Column:
     raise ValueError(f"unknown edit: {kind}")
 
 
-def sweep(docs: DataFrame, text: str = "text", settings: tuple[tuple[int, int], ...] = ((128, 3), (128, 2), (64, 3), (256, 3))) -> DataFrame:
+def sweep(docs: DataFrame, text: str = "text", settings: tuple[tuple[int, int], ...] = SETTINGS) -> DataFrame:
     """``edit, num_perm, shingle_size, n, mean_sim``: similarity of texts with their edited form."""
     words = docs.select(tokens(F.col(text)).alias("words"))
     forms = words.select(F.array_join("words", " ").alias("plain"), F.explode(F.array(*(F.struct(F.lit(k).alias("edit"), F.array_join(edited(F.col("words"), k), " ").alias("text")) for k in KINDS))).alias("e"))

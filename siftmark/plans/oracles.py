@@ -5,8 +5,10 @@ from __future__ import annotations
 from siftmark.functions.hashing import PRIME
 from siftmark.functions.shingling import UNSEGMENTED_RANGES
 from siftmark.operators.cluster import BANDS
+from siftmark.operators.perturb import EVERY, SETTINGS
 from siftmark.plans.catalog import SCRIPTS
-from siftmark.plans.duck import bits, blake2b8, components, normalized, runs, signatures, tokens
+from siftmark.plans.duck import bits, blake2b, blake2b4_doubles, blake2b8, components, normalized, runs, signatures, tokens
+from siftmark.sources.loaders import LEXICAL_FAMILIES, SEMANTIC_FAMILIES
 
 SPACE = r"[\s\x0b\x1c-\x1f]"
 STRIPPED = rf"regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -18,9 +20,13 @@ _norm = normalized("text")
 _items = "(SELECT item_id AS id, text AS t FROM benchmark)"
 _turns = "(SELECT conv_id * 1000 + turn AS id, text AS t FROM conversations)"
 _forms = "(SELECT unnest([text, 'please ' || text, text || ' now thanks']) AS text FROM benchmark)"
+_documents = f"""uniques AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) - 1 AS id, t FROM (SELECT DISTINCT {_norm} AS t FROM documents WHERE {_norm} <> ''))"""
 _unique = f"""uniques AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) - 1 AS id, t FROM (SELECT DISTINCT {_norm} AS t FROM {_forms} WHERE {_norm} <> ''))"""
 _bands = f"""banded AS MATERIALIZED (SELECT id, slot // {128 // BANDS} AS band, string_agg(value::VARCHAR, ':' ORDER BY slot) AS key FROM sig GROUP BY ALL)"""
 _stars = """stars AS MATERIALIZED (SELECT DISTINCT b.id AS src, l.dst FROM banded b JOIN (SELECT band, key, min(id) AS dst FROM banded GROUP BY ALL HAVING count(*) > 1) l USING (band, key) WHERE b.id <> l.dst)"""
+_sizes = "sizes AS (SELECT component, count(*) AS n FROM component GROUP BY component)"
+_stats = "SELECT sum(n)::BIGINT AS n_unique, count(*) AS n_clusters, count(*) FILTER (WHERE n > 1) AS n_multi, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_in_multi, 100 * coalesce(sum(n) FILTER (WHERE n > 1), 0)::DOUBLE / sum(n) AS pct_in_multi FROM sizes"
+_document_clusters = f"WITH RECURSIVE {_documents}, {signatures('uniques')}, {_bands}, {_stars}, {components('uniques', 'stars')}"
 _clusters = f"WITH RECURSIVE {_unique}, {signatures('uniques')}, {_bands}, {_stars}, {components('uniques', 'stars')}"
 _rate = "count(*) AS total, count(DISTINCT nullif(norm, '')) AS n_unique, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE 100 * (count(*) - count(DISTINCT nullif(norm, '')))::DOUBLE / count(*) END AS dup_pct"
 
@@ -60,6 +66,32 @@ def _cosine(source: str) -> str:
 _separation = "round(avg(sim) FILTER (WHERE is_intra), 6) AS mean_intra, round(avg(sim) FILTER (WHERE NOT is_intra), 6) AS mean_inter, round(avg(sim) FILTER (WHERE is_intra) - avg(sim) FILTER (WHERE NOT is_intra), 6) AS separation FROM cosines"
 _scale = "list_max(list_transform(v, lambda x: abs(x))) / 127"
 
+_next_bits = "SELECT x.id, count(*) FILTER (WHERE x.bit = y.bit)::DOUBLE / 256 AS sim FROM bit x JOIN bit y ON y.id = x.id + 1 AND x.plane = y.plane GROUP BY x.id"
+
+
+def _fixture(name: str, rows: list[tuple[str, str]]) -> str:
+    """SELECT of the summary and best threshold of a small labelled set."""
+    quoted = ", ".join(f"({i}, '{t}', '{label}')" for i, (t, label) in enumerate(rows))
+    pairs = f"items AS (SELECT * FROM (VALUES {quoted}) v(id, t, label)), {signatures('items')}, {_pair_sims}, pairs AS MATERIALIZED (SELECT a, b, sim, x.label = y.label AS is_intra FROM matched JOIN items x ON x.id = a JOIN items y ON y.id = b)"
+    return f"SELECT '{name}' AS name, * FROM (WITH {pairs}, {_metrics(_steps)} SELECT * FROM ({_summary}), (SELECT * FROM rated ORDER BY f1 DESC, threshold LIMIT 1))"
+
+
+def _sweep(slots: int, size: int) -> str:
+    """SELECT of the mean similarity of benchmark texts and their edits, of one setting."""
+    hit, new = f"i % {EVERY} = 0", "'zz' || reverse(w[i])"
+    forms = {
+        "plain": "w",
+        "insert": f"flatten(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {hit} THEN [w[i], {new}] ELSE [w[i]] END))",
+        "delete": f"list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT ({hit})), lambda i: w[i])",
+        "substitute": f"list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {hit} THEN {new} ELSE w[i] END)",
+        "reorder": "list_reverse(w)",
+    }
+    texts = " UNION ALL ".join(f"SELECT n * 5 + {k} AS id, array_to_string({form}, ' ') AS t FROM worded" for k, form in enumerate(forms.values()))
+    names = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(forms))
+    sims = f"SELECT y.id, CASE WHEN max(x.value) = 0 OR max(y.value) = 0 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE x.value = y.value)::DOUBLE / {slots} END AS sim FROM sig x JOIN sig y ON x.slot = y.slot AND x.id = y.id // 5 * 5 AND y.id % 5 > 0 GROUP BY y.id"
+    return f"SELECT CASE id % 5 {names} END AS edit, {slots} AS num_perm, {size} AS shingle_size, count(*) AS n, round(avg(sim), 9) AS mean_sim FROM (WITH worded AS MATERIALIZED (SELECT row_number() OVER () AS n, {tokens('text')} AS w FROM benchmark), forms AS MATERIALIZED ({texts}), {signatures('forms', 1, slots, size)} {sims}) GROUP BY 1"
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_parquet": "SELECT text FROM documents WHERE text IS NOT NULL",
     "scan_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
@@ -81,6 +113,10 @@ ORACLE_SQL: dict[str, str] = {
     "parse_lexical": f"WITH {signatures(_items)} SELECT id AS item_id, slot, value FROM sig",
     "lexical_digest": f"WITH {signatures(_items)} SELECT id AS item_id, {_digest} AS digest FROM sig GROUP BY id",
     "conversation_digest": f"WITH {signatures(_turns)} SELECT id // 1000 AS conv_id, id % 1000 AS turn, {_digest} AS digest FROM sig GROUP BY id",
+    "stream_digest": f"WITH {signatures(_turns)} SELECT id // 1000 AS conv_id, id % 1000 AS turn, {_digest} AS digest FROM sig GROUP BY id",
+    "hyperplane_values": f"WITH strings AS MATERIALIZED (SELECT p AS plane, d AS axis, '1:' || p || ':' || d AS s FROM range(256) x(p), range(64) y(d)), hashed AS MATERIALIZED ({blake2b('strings', 16)}) "
+    "SELECT plane, axis, round(sqrt(-2.0::DOUBLE * ln((h0::DOUBLE + 1) / (18446744073709551616::DOUBLE + 1))) * cos(2.0::DOUBLE * pi() * (h1::DOUBLE / 18446744073709551616::DOUBLE)), 9) AS value FROM strings JOIN hashed USING (s)",
+    "compare_semantic": f"SELECT 'plain' AS kind, * FROM (WITH {_vectors}, {bits('vectors')} {_next_bits}) UNION ALL SELECT 'centred', * FROM (WITH {_centred}, {bits('centred')} {_next_bits})",
     "lexical_similarity": f"WITH {signatures(_items)}, {_pair_sims} SELECT a, b, sim FROM matched",
     "compare_dispatch": f"WITH {signatures(_items)}, {_pair_sims} SELECT a, b, sim FROM matched",
     "similarity_text": f"WITH both_forms AS MATERIALIZED (SELECT item_id * 2 AS id, text AS t FROM benchmark UNION ALL SELECT item_id * 2 + 1, 'please ' || upper(text) FROM benchmark), {signatures('both_forms')} "
@@ -88,7 +124,11 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_bands": f"WITH {_unique}, {signatures('uniques')}, {_bands} SELECT id, band, key FROM banded",
     "lsh_band_collisions": f"WITH {_unique}, {signatures('uniques')}, {_bands}, {_stars} SELECT src, dst FROM stars",
     "lsh_clusters_variants": f"{_clusters} SELECT id, component AS cluster_id FROM component",
-    "cluster_stats_variants": f"{_clusters}, sizes AS (SELECT component, count(*) AS n FROM component GROUP BY component) SELECT sum(n)::BIGINT AS n_unique, count(*) AS n_clusters, count(*) FILTER (WHERE n > 1) AS n_multi, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_in_multi, 100 * coalesce(sum(n) FILTER (WHERE n > 1), 0)::DOUBLE / sum(n) AS pct_in_multi FROM sizes",
+    "cluster_stats_variants": f"{_clusters}, {_sizes} {_stats}",
+    "lsh_clusters": f"{_document_clusters} SELECT id, component AS cluster_id FROM component",
+    "cluster_stats": f"{_document_clusters}, {_sizes} {_stats}",
+    "top_clusters": f"{_document_clusters}, {_sizes}, largest AS (SELECT * FROM sizes WHERE n > 1 ORDER BY n DESC, component LIMIT 3), "
+    "ranked AS (SELECT id, component, n, row_number() OVER (PARTITION BY component ORDER BY id) AS k FROM component JOIN largest USING (component)) SELECT component AS cluster_id, n AS size, id, substring(t, 1, 100) AS snippet FROM ranked JOIN uniques USING (id) WHERE k <= 3",
     "exact_dup_rate": f"SELECT {_rate} FROM (SELECT {_norm} AS norm FROM documents)",
     "exact_dup_by_group": f"SELECT source, {_rate} FROM (SELECT source, {_norm} AS norm FROM documents) GROUP BY source",
     "cross_corpus_exact": f"WITH n AS MATERIALIZED (SELECT DISTINCT doc_id % 2 AS k, {_norm} AS norm FROM documents WHERE {_norm} <> '') SELECT count(*) AS n_unique, count(y.norm) AS n_matched, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE 100 * count(y.norm)::DOUBLE / count(*) END AS matched_pct FROM (SELECT norm FROM n WHERE k = 0) x LEFT JOIN (SELECT norm FROM n WHERE k = 1) y USING (norm)",
@@ -100,6 +140,7 @@ ORACLE_SQL: dict[str, str] = {
     "family_count": "SELECT count(DISTINCT label) AS n_families FROM embeddings",
     "dim_check": "SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1",
     "reference_mean": f"WITH {_vectors}, {_mean} SELECT axis, round(m, 12) AS mean FROM means",
+    "reference_mean_id": f"WITH {_vectors}, {_mean}, rounded AS MATERIALIZED (SELECT list_transform(m, lambda x: round(x, 9)) AS v FROM mean) SELECT hex AS ref_id FROM ({blake2b4_doubles('rounded', 64)})",
     "center_embeddings": f"WITH {_centred} SELECT id, unnest(range(len(v))) AS axis, round(unnest(v), 9) AS x FROM centred",
     "simhash_bits": f"WITH {_vectors}, {bits('vectors')} SELECT id, plane, bit::INTEGER AS bit FROM bit",
     "simhash_hex": f"WITH {_vectors}, {bits('vectors')} SELECT id, hex FROM packed",
@@ -117,3 +158,5 @@ for _end, _pairs in (("", _bit_pairs), ("_lexical", _lexical_pairs)):
     ORACLE_SQL[f"threshold_metrics{_end}"] = f"WITH {_pairs}, {_metrics('SELECT 0.5::DOUBLE AS threshold')} SELECT * FROM rated"
     ORACLE_SQL[f"threshold_curve{_end}"] = f"WITH {_pairs}, {_metrics(_steps)} SELECT * FROM rated"
     ORACLE_SQL[f"best_threshold{_end}"] = f"WITH {_pairs}, {_metrics(_steps)} SELECT * FROM rated ORDER BY f1 DESC, threshold LIMIT 1"
+ORACLE_SQL["fixture_summary"] = " UNION ALL ".join(_fixture(*x) for x in (("lexical", LEXICAL_FAMILIES), ("semantic", SEMANTIC_FAMILIES)))
+ORACLE_SQL["perturbation_sweep"] = " UNION ALL ".join(_sweep(*x) for x in SETTINGS)

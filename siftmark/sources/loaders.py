@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,12 @@ def first_texts(texts: DataFrame, limit: int | None, order: list[str] | None = N
         return texts
     if order:
         return texts.orderBy(*order).limit(limit)
-    return texts.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(limit).drop("_at")
+    places = ["_first_file", "_first_block", "_first_at"]
+    try:  # partitions needn't be in the order of the files, as large ones are read first
+        marked = texts.withColumns({places[0]: F.col("_metadata.file_path"), places[1]: F.col("_metadata.file_block_start")})
+    except AnalysisException:  # not from files
+        marked, places = texts, places[2:]
+    return marked.withColumn("_first_at", F.monotonically_increasing_id()).orderBy(*places).limit(limit).drop(*places)
 
 
 def load_texts(spark: SparkSession, path: str, column: str | None = None, limit: int | None = None) -> DataFrame:

@@ -126,22 +126,47 @@ def test_providers_name_what_is_missing(monkeypatch):
     assert providers.mean_pool(states, mask).tolist() == [[2.0, 3.0]]
 
 
-class _Session:
-    def __init__(self, *outputs):
-        self.outputs = outputs
+class _Encoding:
+    def __init__(self, text, width):
+        n = len(text)
+        self.ids, self.attention_mask, self.type_ids = ([*map(ord, text)] + [0] * (width - n), [1] * n + [0] * (width - n), [0] * width)
+
+
+class _Tokenizer:
+    """A token for each character, padded."""
+
+    def encode_batch(self, texts):
+        return [_Encoding(t, max(map(len, texts))) for t in texts]
+
+
+class _Model:
+    """States: a token's id, its negative and one more; vectors: how many ids were fed."""
+
+    def __init__(self, inputs, **axes):
+        self.inputs, self.axes, self.runs = inputs, axes, 0
 
     def get_inputs(self):
-        return [type("I", (), {"name": "token_type_ids"})]
+        return [type("I", (), {"name": n}) for n in self.inputs]
 
-    def run(self, _, feed):
-        assert set(feed) == {"input_ids", "attention_mask", "token_type_ids"}
-        return list(self.outputs)
+    def get_outputs(self):
+        return [type("O", (), {"name": n, "shape": ["?"] * k}) for n, k in self.axes.items()]
+
+    def run(self, names, feed):
+        assert set(feed) == set(self.inputs)
+        self.runs += 1
+        ids = feed["input_ids"].astype(np.float64)
+        return [{1: ids[:, 0], 2: np.ones((len(ids), 1)) * ids.shape[1], 3: np.stack([ids, -ids, ids + 1], 2)}[self.axes[n]] for n in names]
 
 
 def test_onnx_outputs():
-    tokenizer = type("T", (), {"encode": staticmethod(lambda t: type("E", (), {"ids": [5, 6], "attention_mask": [1, 1]}))})
-    assert providers.onnx_embed(tokenizer, _Session(np.array([[[1.0], [3.0]]])), "x") == [2.0]
-    assert providers.onnx_embed(tokenizer, _Session(np.array([[7.0, 8.0]])), "x") == [7.0, 8.0]
+    every = ["input_ids", "attention_mask", "token_type_ids"]
+    model = providers.OnnxModel(_Tokenizer(), _Model(every, score=1, pooled=2, states=3))
+    assert model.embed_many(["ac", "abcd"]) == [[98.0, -98.0, 99.0], [98.5, -98.5, 99.5]]  # padding doesn't count
+    assert model.embed_many([]) == [] and model.session.runs == 1
+    assert len(model.embed_many(["x"] * 70)) == 70 and model.session.runs == 4
+    assert providers.OnnxModel(_Tokenizer(), _Model(every[:1], pooled=2)).embed_many(["abc"]) == [[3.0]]
+    with pytest.raises(ValueError):
+        providers.OnnxModel(_Tokenizer(), _Model(every, score=1))
 
 
 def texts():
@@ -225,6 +250,37 @@ def test_embed_column(spark):
     rows = spark.createDataFrame([("abc",), (None,)], "t string")
     assert [r.v for r in rows.select(h.embed_of(F.col("t")).alias("v")).collect()] == [[3.0, -1.0, 2.0], [0.0, -1.0, 2.0]]
 
+    def embed(text):
+        raise AssertionError("a batch at a time")
+
+    embed.many = lambda texts: [[float(len(t)), 7.0] for t in texts]
+    assert [r.v for r in rows.select(siftmark.SemanticHasher(embed, 16, 3).embed_of(F.col("t")).alias("v")).collect()] == [[3.0, 7.0], [0.0, 7.0]]
+
+
+MALFORMED = ["plm1:2:zz:qq", "plm1:2:0000000g:00000001", "plm1:1:", "plm1:1: 1", "plm1:1:0x1", "plm1:1:1_0", "plm1:1:-1", "plm1:+1:00000001", "plm1: 1:00000001", "plm1:1:" + "f" * 16, "pls1:m:abc:ff", "pls1:m:8:zz", "pls1:m:8:f", "pls1:m:-8:ff", "pls1:m:8: ff", "pls1:m:8:f f", "pls1c:m:r:8.0:ff", "pls1c:m:r::ff"]
+
+
+def test_malformed_digests_pass_nowhere(spark):
+    rows = spark.createDataFrame([(d,) for d in MALFORMED], "d string")
+    got = rows.select(lexical.parsed(F.col("d"), strict=False).alias("l"), semantic.parsed(F.col("d"), strict=False).alias("s"), compare.compare_of(F.col("d"), F.col("d"), strict=False).alias("c")).collect()
+    assert [(r.l, r.s, r.c) for r in got] == [(None, None, None)] * len(MALFORMED)
+    for d in MALFORMED:
+        with pytest.raises(ValueError):
+            siftmark.compare(d, d)
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(d,)], "d string").select(compare.compare_of(F.col("d"), F.col("d"))).collect()
+    good = ["plm1:2:0000000A:1", "pls1:m:4:f0", "pls1:m:0:", "pls1c:m:r:16:00ff"]
+    rows = spark.createDataFrame([(d,) for d in good], "d string")
+    assert [r[0] for r in rows.select(compare.compare_of(F.col("d"), F.col("d"))).collect()] == [siftmark.compare(d, d) for d in good] == [1.0, 1.0, 0.0, 1.0]
+
+
+def test_reference_mean_of_numbers_that_are_not_finite(spark):
+    nan, inf = math.nan, math.inf
+    data = [([1.0, nan, inf, inf, 5e-324, -inf],), ([1.0, 2.0, 3.0, -inf, 0.0, 1e308],), ([2.5, 1.0, inf, 1.0, 0.0, 1e308],)]
+    got = semantic.reference_mean(spark.createDataFrame(data, "v array<double>").repartition(3), "v")
+    want = siftmark.fit_reference_mean(lambda v: v, [r[0] for r in data])
+    assert [str(x) for x in got] == [str(x) for x in want] == ["1.5", "nan", "inf", "nan", "0.0", "-inf"]
+
 
 def test_sql_functions(spark):
     from siftmark.functions.sql import register

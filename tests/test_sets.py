@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import siftmark
-from siftmark import cli
+from siftmark import cli, session
 from siftmark.functions import lexical, shingling
 from siftmark.operators import cluster, corpus, evaluate, perturb, vectors
 from siftmark.operators.numbering import with_index
@@ -39,6 +39,19 @@ def test_loaders(spark, tmp_path):
     assert values(loaders.load_texts(spark, str(tmp_path / "c.parquet"), "t")) == ["p", "q"]
 
 
+def test_first_texts_are_in_the_order_of_files(spark, tmp_path):
+    """Spark reads large files first; the limit must not."""
+    for name, lines in (("a", ["a0", "a1"]), ("b", [f"b{i}" for i in range(5000)]), ("c", ["c0"])):
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines))
+    assert values(loaders.load_texts(spark, str(tmp_path), limit=1)) == ["a0"]
+    assert values(loaders.load_texts(spark, str(tmp_path), limit=4)) == ["a0", "a1", "b0", "b1"]
+    assert values(loaders.first_texts(spark.createDataFrame([("x",), ("y",)], "text string").coalesce(1), 1)) == ["x"]
+    (tmp_path / "csv").mkdir()
+    for name in "zy":
+        (tmp_path / "csv" / f"{name}.csv").write_text(f"text,label\n{name}1,l\n{name}2,m\n")
+    assert [r.text for r in loaders.load_labelled_flexible(spark, str(tmp_path / "csv"), limit=3).collect()] == ["y1", "y2", "z1"]
+
+
 def plain_pairs(rows):
     digests = [(siftmark.digest(t), label) for t, label in rows]
     return [(siftmark.similarity(a, b), x == y) for i, (a, x) in enumerate(digests) for b, y in digests[i + 1 :]]
@@ -160,6 +173,15 @@ def test_vectors(spark):
     assert got[0].u == [0.6, 0.8] and got[0].q == [95.0, 127.0] and got[1].u == got[1].q == [0.0, 0.0] and got[2].q == [-127.0, 64.0]
     best = {r.query: r.nearest for r in vectors.nearest(rows.select("id", F.col("v").alias("vector"))).collect()}
     assert best == {1: 2, 2: 1, 3: 2}
+    rng = random.Random(1)
+    data = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(90)] + [(90, None)]  # with ties and equal vectors
+    score = lambda x, y: round(sum(p * q for p, q in zip(x, y, strict=True)), 9)
+    want = {i: min(((-score(x, y), j) for j, y in data[:90] if i != j))[::-1] for i, x in data[:90]}
+    for block in (10, 1000):
+        got = vectors.nearest(spark.createDataFrame(data, "id long, vector array<double>"), block).collect()
+        assert {r.query: (r.nearest, -r.sim) for r in got} == want
+    one = spark.createDataFrame(data[:1], "id long, vector array<double>")
+    assert vectors.nearest(one).count() == vectors.nearest(one.limit(0)).count() == 0
 
 
 def test_perturbation(spark):
@@ -199,6 +221,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert "12 prompts, 3 families" in lines[0] and "intra 0.688" in lines[1] and lines[2].strip().startswith("semantic")
 
 
+def test_command_line_evaluates(spark, tmp_path, capsys):
+    assert cli.main(["evaluate"]) == 0
+    out = capsys.readouterr().out
+    assert "lexical families  (12 prompts, 3 families)" in out and "intra 0.688" in out and "semantic families  (8 prompts, 2 families)" in out
+    path = tmp_path / "set.csv"
+    path.write_text("text,label,other\nred fox runs,a,x\nred fox runs,a,\nblue owl sleeps,b,y\n , ,z\n")
+    assert cli.main(["evaluate", "--corpus", str(path)]) == 0
+    assert "prompts, " in capsys.readouterr().out
+    assert cli.main(["families", str(path), "--text-col", "text", "--label-col", "other"]) == 0
+    assert "(2 prompts, 2 families)" in capsys.readouterr().out  # empty labels go
+    assert cli.main(["families", str(path), "--limit", "2"]) == 0
+    assert "(2 prompts, 1 families)" in capsys.readouterr().out
+    assert cli.main(["cluster", str(path), "--column", "text", "--limit", "3"]) == 0
+    assert "exact-duplicate rate  : 33.3%" in capsys.readouterr().out
+
+
+def test_first_members_are_cut_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(50)], "id long, cluster_id long").repartition(4)
+    ranked = cluster._first_members(rows, 3)
+    assert ranked.count() == 6 and "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_of_hot_keys_equals_a_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id long, key string")
+    found = session.materialize(spark.createDataFrame([("hot", 1), ("k3", 2), ("zz", 3)], "key string, v int"), "found")
+    for most in (10, 0):
+        monkeypatch.setattr(session, "BROADCAST_ROWS", most)
+        for how, n in (("inner", 201), ("left", 300)):
+            got = session.lookup(rows, found, ["key"], ["id"], how)
+            assert got.columns == ["key", "id", "v"] and got.count() == n and got.where("v = 1").count() == 200
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    context = type("C", (), {"applicationId": "app-x", "master": "spark://host", "getConf": lambda s: {}, "getCheckpointDir": lambda s: None})()
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.scratch_dir(type("S", (), {"sparkContext": context})())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 189
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
