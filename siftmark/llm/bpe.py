@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from siftmark.llm.common import bounded_batches
 
-#: Entries of each of the two generations of the pre-token memo of a worker.
-MEMO = 200_000
+#: Entries, and their characters, of each of the two generations of the pre-token memo of a worker.
+MEMO, MEMO_CHARS = 200_000, 8_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -86,13 +86,13 @@ class ByteBPE:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.memo, self.new, self.old = memo, {}, {}
+        self.memo, self.new, self.old, self.chars = memo, {}, {}, 0
 
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k not in ("split", "new", "old")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, split=regex.compile(state["pattern"]).findall, new={}, old={})
+        self.__dict__.update(state, split=regex.compile(state["pattern"]).findall, new={}, old={}, chars=0)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merges, lowest rank first, leftmost on ties."""
@@ -139,9 +139,10 @@ class ByteBPE:
         found = self.new.get(piece) or self.old.get(piece)
         if found is None:
             found = np.array(self.piece(piece.encode()), "<u4").tobytes()
-        if len(self.new) >= self.memo:
-            self.old, self.new = self.new, {}
+        if len(self.new) >= self.memo or self.chars >= MEMO_CHARS:
+            self.old, self.new, self.chars = self.new, {}, 0
         self.new[piece] = found
+        self.chars += len(piece)
         return found
 
     def encode_bytes(self, text: str) -> bytes:
