@@ -22,6 +22,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +346,12 @@ def train(pages: int = 700, seed: int = 7, **options) -> ContentModel:
     return ContentModel(BoostedTrees(**options).fit(x[real], content[real].astype(float)), BoostedTrees(**options).fit(x[real], boiler[real].astype(float)))
 
 
+@lru_cache(maxsize=1)
+def trained() -> ContentModel:
+    """The model of the default settings, fitted once in a process."""
+    return train()
+
+
 def main_text(pages: DataFrame, model: ContentModel) -> DataFrame:
     """``page_id, url, text, n_chars`` of every whole page; row-local, no shuffle."""
     shared = pages.sparkSession.sparkContext.broadcast(model)

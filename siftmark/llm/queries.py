@@ -27,7 +27,7 @@ HOST_RULES = [
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.main_text(table(spark, sf_dir, "pages"), main_text.train())
+    return main_text.main_text(table(spark, sf_dir, "pages"), main_text.trained())
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
