@@ -1,4 +1,4 @@
-"""DuckDB SQL by query name. Queries over learned, streamed or very large hashed inputs have none."""
+"""DuckDB SQL by query name: every query of the catalogue has one."""
 
 from __future__ import annotations
 
@@ -92,6 +92,15 @@ def _sweep(slots: int, size: int) -> str:
     return f"SELECT CASE id % 5 {names} END AS edit, {slots} AS num_perm, {size} AS shingle_size, count(*) AS n, round(avg(sim), 9) AS mean_sim FROM (WITH worded AS MATERIALIZED (SELECT row_number() OVER () AS n, {tokens('text')} AS w FROM benchmark), forms AS MATERIALIZED ({texts}), {signatures('forms', 1, slots, size)} {sims}) GROUP BY 1"
 
 
+def _crossed(sides: str) -> str:
+    """Texts of the side ``k`` = 0, those that share a band with one of the side 1, and their share, for a relation of ``k, t``."""
+    return (
+        f"WITH uniques AS MATERIALIZED (SELECT row_number() OVER () AS id, k, t FROM ({sides}) WHERE t <> ''), {signatures('uniques')}, {_bands}, "
+        "hits AS (SELECT DISTINCT x.id FROM banded x JOIN uniques u ON u.id = x.id AND u.k = 0 JOIN (SELECT DISTINCT b.band, b.key FROM banded b JOIN uniques USING (id) WHERE k = 1) y ON x.band = y.band AND x.key = y.key) "
+        "SELECT (SELECT count(*) FROM uniques WHERE k = 0) AS n_unique, count(*) AS n_matched, CASE WHEN (SELECT count(*) FROM uniques WHERE k = 0) = 0 THEN 0.0::DOUBLE ELSE 100 * count(*)::DOUBLE / (SELECT count(*) FROM uniques WHERE k = 0) END AS matched_pct FROM hits"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_parquet": "SELECT text FROM documents WHERE text IS NOT NULL",
     "scan_text": "SELECT unnest(string_split(text, chr(10))) AS text FROM documents",
@@ -123,6 +132,8 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT x.id // 2 AS item_id, CASE WHEN max(x.value) = 0 OR max(y.value) = 0 THEN 0.0::DOUBLE ELSE count(*) FILTER (WHERE x.value = y.value)::DOUBLE / 128 END AS sim FROM sig x JOIN sig y ON x.slot = y.slot AND y.id = x.id + 1 AND x.id % 2 = 0 GROUP BY x.id",
     "lsh_bands": f"WITH {_unique}, {signatures('uniques')}, {_bands} SELECT id, band, key FROM banded",
     "lsh_band_collisions": f"WITH {_unique}, {signatures('uniques')}, {_bands}, {_stars} SELECT src, dst FROM stars",
+    "lsh_bands_documents": f"WITH {_documents}, {signatures('uniques')}, {_bands} SELECT id, band, key FROM banded",
+    "lsh_band_collisions_documents": f"WITH {_documents}, {signatures('uniques')}, {_bands}, {_stars} SELECT src, dst FROM stars",
     "lsh_clusters_variants": f"{_clusters} SELECT id, component AS cluster_id FROM component",
     "cluster_stats_variants": f"{_clusters}, {_sizes} {_stats}",
     "lsh_clusters": f"{_document_clusters} SELECT id, component AS cluster_id FROM component",
@@ -132,9 +143,8 @@ ORACLE_SQL: dict[str, str] = {
     "exact_dup_rate": f"SELECT {_rate} FROM (SELECT {_norm} AS norm FROM documents)",
     "exact_dup_by_group": f"SELECT source, {_rate} FROM (SELECT source, {_norm} AS norm FROM documents) GROUP BY source",
     "cross_corpus_exact": f"WITH n AS MATERIALIZED (SELECT DISTINCT doc_id % 2 AS k, {_norm} AS norm FROM documents WHERE {_norm} <> '') SELECT count(*) AS n_unique, count(y.norm) AS n_matched, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE 100 * count(y.norm)::DOUBLE / count(*) END AS matched_pct FROM (SELECT norm FROM n WHERE k = 0) x LEFT JOIN (SELECT norm FROM n WHERE k = 1) y USING (norm)",
-    "cross_corpus_lsh": f"WITH uniques AS MATERIALIZED (SELECT row_number() OVER () AS id, k, t FROM (SELECT DISTINCT 0 AS k, {_norm} AS t FROM benchmark UNION SELECT DISTINCT 1, {_norm} FROM (SELECT 'please ' || text AS text FROM benchmark)) WHERE t <> ''), {signatures('uniques')}, {_bands}, "
-    "hits AS (SELECT DISTINCT x.id FROM banded x JOIN uniques u ON u.id = x.id AND u.k = 0 JOIN (SELECT DISTINCT b.band, b.key FROM banded b JOIN uniques USING (id) WHERE k = 1) y ON x.band = y.band AND x.key = y.key) "
-    "SELECT (SELECT count(*) FROM uniques WHERE k = 0) AS n_unique, count(*) AS n_matched, CASE WHEN (SELECT count(*) FROM uniques WHERE k = 0) = 0 THEN 0.0::DOUBLE ELSE 100 * count(*)::DOUBLE / (SELECT count(*) FROM uniques WHERE k = 0) END AS matched_pct FROM hits",
+    "cross_corpus_lsh": _crossed(f"SELECT DISTINCT 0 AS k, {_norm} AS t FROM benchmark UNION SELECT DISTINCT 1, {_norm} FROM (SELECT 'please ' || text AS text FROM benchmark)"),
+    "cross_corpus_lsh_documents": _crossed(f"SELECT DISTINCT doc_id % 2 AS k, {_norm} AS t FROM documents"),
     "pair_similarities": f"WITH {_bit_pairs} SELECT a, b, sim, is_intra::INTEGER AS is_intra FROM pairs",
     "pair_similarities_lexical": f"WITH {_lexical_pairs} SELECT a, b, sim, is_intra::INTEGER AS is_intra FROM pairs",
     "family_count": "SELECT count(DISTINCT label) AS n_families FROM embeddings",
