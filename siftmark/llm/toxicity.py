@@ -126,8 +126,10 @@ class Lexicon:
 def majority(votes: np.ndarray, share: float) -> np.ndarray:
     """Beginning of EM: the most toxic rows by their votes have a high probability, ``share`` of all as labels have it."""
     total = votes.astype(int).sum(1)
-    cut = np.quantile(total, 1 - share)
-    return np.where(total > cut, 0.95, np.where(total == cut, 0.5, 0.05)) if total.max() > total.min() else np.full(len(votes), share)
+    cut = np.quantile(total, 1 - share, method="higher")
+    above, ties = total > cut, total == cut
+    rest = (share * len(total) - above.sum()) / ties.sum()  # what is due to the rows in between
+    return np.where(above, 0.95, np.where(ties, np.clip(rest, 0.05, 0.95), 0.05))
 
 
 class LabelModel:
@@ -217,6 +219,17 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *stems))
 
 
+def _with_kin(rows: DataFrame, size: int = 5) -> DataFrame:
+    """``rows`` with ``kin``, the least hash of a text's runs of ``size`` words: mostly equal for copies with edits, different for other texts.
+
+    A text of fewer words has no such run and is kin of none.
+    """
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(SPARK_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    runs = [F.slice("words", k + 1, F.greatest(F.size("words") - (size - 1), F.lit(1))) for k in range(size)]
+    print_of = F.array_min(F.transform(F.arrays_zip(*(r.alias(f"w{k}") for k, r in enumerate(runs))), lambda z: F.xxhash64(*(z[f"w{k}"] for k in range(size)))))
+    return rows.withColumn("words", words).withColumn("kin", F.when(F.size("words") >= size, print_of).otherwise(F.xxhash64("doc_id"))).drop("words")
+
+
 def _counted(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``terms, times, words, shown`` of each text, counted on the executors."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -245,13 +258,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms:
     rate = math.ceil(1_000_000 * max_docs / total)
     if rate < 1_000_000:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "toxic", "text").cache()
+    rows = _with_kin(docs.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "toxic", "text")).cache()
     try:
-        found = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # copies of a text, with edits or without, are one witness for its terms
+        found = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count_distinct("kin").alias("n")).collect()}
         bad, good = found.get(1, 0), found.get(0, 0)
         if not bad or not good:
             return ToxicityModel()
-        seen = rows.select("toxic", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("all"))
+        seen = rows.select("toxic", "kin", F.explode(_terms(F.col("text"))).alias("term")).distinct().groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("all"))
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
         # significance: more toxic documents than their share gives by chance, by some standard errors
         share = bad / (bad + good)
