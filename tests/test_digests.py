@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 import unicodedata
 
 import numpy as np
@@ -288,3 +289,15 @@ def test_sql_functions(spark):
     assert "lexical_digest" in register(spark)
     row = spark.sql("select lexical_digest('a b c d') d, digest_compare(lexical_digest('a b c d'), lexical_digest('a b c d')) s, try_digest_compare('x', 'y') n, normalized_text('A, b') t, lexical_slots(lexical_digest('a')) p, lexical_signature('a') g").first()
     assert row.d == siftmark.digest("a b c d") and row.s == 1.0 and row.n is None and row.t == "a b" and row.p == row.g
+
+
+def test_shingles_take_time_in_proportion_to_a_text(spark):
+    # tokens of the whole text were computed again for each shingle, and so was its dense form for each pair
+    words, dense = " ".join(f"w{i % 9000}" for i in range(20_000)), "".join(chr(0x4E00 + i % 5000) for i in range(20_000))
+    rows = spark.createDataFrame([(words,), (dense,)], "text string")
+    began = time.time()
+    got = [r.s for r in rows.select(text.shingles(F.col("text")).alias("s")).collect()]
+    own = [r.s for r in rows.limit(1).select(text.word_shingles(text.tokens(F.col("text"))).alias("s")).collect()]
+    assert time.time() - began < 20
+    assert [set(s) for s in got] == [shingling.shingle_set(words), shingling.shingle_set(dense)] and set(own[0]) == shingling.shingle_set(words)
+    assert all(len(s) == len(set(s)) for s in [*got, *own])
