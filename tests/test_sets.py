@@ -1,5 +1,6 @@
 """Loaders, evaluation, clusters, duplicate rates, streaming, command line."""
 
+import inspect
 import math
 import random
 from collections import defaultdict
@@ -11,7 +12,7 @@ import __spark_entry__
 import siftmark
 from siftmark import cli, session
 from siftmark.functions import lexical, shingling
-from siftmark.operators import cluster, corpus, evaluate, perturb, vectors
+from siftmark.operators import cluster, corpus, evaluate, pairs, perturb, vectors
 from siftmark.operators.numbering import with_index
 from siftmark.sources import loaders
 from siftmark.streaming import digests as stream
@@ -263,3 +264,58 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 189
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert math.isclose(lexical.similarity(siftmark.digest("a"), siftmark.digest("a")), 1.0)
+
+
+def test_evaluation_has_no_limit_by_default():
+    for f in (evaluate.lexical_pairs, evaluate.pair_similarities):
+        assert inspect.signature(f).parameters["max_items"].default is None
+
+
+@pytest.mark.parametrize("kernel", [pairs.Slots(), pairs.Bits(70), pairs.Dot()], ids=str)
+def test_blocks_of_pairs_equal_a_loop(spark, monkeypatch, kernel):
+    for name, size in (("BLOCK", 7), ("PAIRS_BLOCK", 5), ("STEP", 2), ("LEAST", 9)):
+        monkeypatch.setattr(pairs, name, size)
+    draw = random.Random(5)
+    value = (lambda: draw.choice([0.0, -1.5, 0.3])) if kernel == pairs.Dot() else lambda: draw.choice([0, 3, 1 << 40])
+    rows = [(i, draw.choice(["p", "q", None]), [value(), value()]) for i in range(40)]
+    rows += [(40, "p", None), (41, "q", [None, value()]), (42, "p", [0 * value()] * 2), (7, "q", [value(), value()]), (None, "p", [value(), value()])]
+    if isinstance(kernel, pairs.Bits):
+        rows = [(i, label, d and [d[0], d[1] and (d[1] & 3) << 62]) for i, label, d in rows]
+
+    def sim(x, y):
+        if x is None or y is None or None in x + y:
+            return None
+        if kernel == pairs.Dot():
+            return 0.0 + x[0] * y[0] + x[1] * y[1]
+        if kernel == pairs.Slots():
+            return sum(p == q for p, q in zip(x, y, strict=True)) / 2 if any(x) and any(y) else 0.0
+        return (70 - sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))) / 70
+
+    if isinstance(kernel, pairs.Bits):
+        rows = [(i, label, d and [d[0], d[1] - (1 << 64) if d[1] and d[1] >= 1 << 63 else d[1]]) for i, label, d in rows]
+    df = spark.createDataFrame(rows, "id long, label string, digest array<%s>" % ("double" if kernel == pairs.Dot() else "long"))
+    known = [r for r in rows if r[0] is not None]
+    want = [(a[0], b[0], sim(a[2], b[2]), a[1] == b[1]) for a in known for b in known if a[0] < b[0]]
+    found = evaluate.pair_similarities(df, kernel)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    if kernel != pairs.Dot():
+        assert sorted(map(tuple, pairs.histogram(df, kernel).collect()), key=repr) == sorted(map(tuple, evaluate.histogram(found).collect()), key=repr)
+    if kernel == pairs.Dot():  # sums of vectors give what the pairs do
+        whole = df.where("id < 40 and id <> 7")
+        monkeypatch.setattr(pairs, "BLOCK", 1_000)
+        some = [(s, intra) for a, b, s, intra in want if b < 40 and 7 not in (a, b)]
+        mean, by_blocks = (pairs.means(x, kernel).first() for x in (whole.repartition(2), df.where("id < 40 and id <> 7").unionByName(df.where("id = 40"))))
+        for k, kind in ((0, True), (1, False)):
+            own = [s for s, intra in some if intra is kind]
+            assert mean[k] == pytest.approx(sum(own) / len(own)) == by_blocks[k]
+    mean = pairs.means(df, kernel).first()
+    for got, kind in ((mean.mean_intra, True), (mean.mean_inter, False)):
+        some = [s for _, _, s, intra in want if intra is kind and s is not None]
+        assert got == pytest.approx(sum(some) / len(some))
+
+
+def test_fast_rounding_is_that_of_spark(spark):
+    values = [0.0, -0.0, 1.0, -1.0, 0.0000005, -0.0000005, 0.1234565, 0.12345649999, -0.9999995, 0.3, 1e-17, 12345.6789012345, math.nan, math.inf, None]
+    draw = random.Random(3)
+    rows = spark.createDataFrame([(x,) for x in values + [draw.uniform(-1, 1) for _ in range(2000)]], "x double")
+    assert rows.where(~vectors.rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6))).count() == 0
