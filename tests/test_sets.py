@@ -266,6 +266,13 @@ def test_entry(spark):
     assert math.isclose(lexical.similarity(siftmark.digest("a"), siftmark.digest("a")), 1.0)
 
 
+def test_wide_rows_are_not_broadcast(spark):
+    # a few kilobytes of Parquet, 40 MB in the driver
+    wide = session.materialize(spark.range(40).select("id", F.repeat(F.lit("x"), F.lit(1_000_000)).alias("text")), "wide")
+    narrow = session.materialize(spark.range(40), "narrow")
+    assert not session._is_small(wide) and session._is_small(narrow)
+
+
 def test_evaluation_has_no_limit_by_default():
     for f in (evaluate.lexical_pairs, evaluate.pair_similarities):
         assert inspect.signature(f).parameters["max_items"].default is None
