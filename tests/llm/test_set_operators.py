@@ -395,6 +395,44 @@ def test_operators_without_broadcasts(spark, nothing_is_small):
     assert "BroadcastHashJoin" not in plan and hits_of(got) == brute_hits(docs, items) and near_of(got) == brute_near(docs, items)
 
 
+def written(spark):
+    """Bytes that shuffles have written so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark, nothing_is_small):
+    rng = random.Random(12)
+    line = lambda: " ".join(f"{rng.getrandbits(60):x}" for _ in range(400))
+    texts = [(i, line()) for i in range(1_000)]
+    texts += [(10_000 + i, texts[i][1] + " more") for i in range(4)]
+    docs = session.materialize(frame(spark, texts), "docs")
+    before = written(spark)
+    found = line_dedup.duplicate_lines(docs).collect()
+    assert {(r.doc_id, *r.drop) for r in found} == {(10_000 + i, 0) for i in range(4)}
+    assert written(spark) - before < sum(len(t) for _, t in texts) / 2
+
+
+def test_join_of_texts_equals_a_plain_join(spark, monkeypatch):
+    texts = spark.createDataFrame([(i if i % 9 else None, i % 5, f"t{i}") for i in range(200)], "doc_id long, mark long, text string")
+    found = session.materialize(spark.createDataFrame([(i if i % 9 else None, i % 5, i) for i in range(0, 400, 3)] + [(7, None, 0)], "_id long, _mark long, v long"), "found")
+    want = sorted(map(repr, texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).collect()))
+    for most, words in ((1000, 64), (-1, 64), (-1, 1)):  # the last map is full
+        monkeypatch.setattr(session, "MAP_WORDS", words)
+        assert sorted(map(repr, session.join_texts(texts, found, most).collect())) == want and len(want) > 60
+    assert session.join_texts(texts, session.materialize(found.where("v < 0"), "none"), -1).count() == 0
+
+
+def test_only_hot_rows_of_a_counted_table_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 50)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id long, key string")
+    found = session.materialize(rows.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("v")).where("key <> 'k3'"), "found")
+    monkeypatch.setattr(session, "HOT_KEYS", 100)
+    for how, n in (("inner", 299), ("left", 300)):
+        got = session.lookup(rows, found, ["key"], ["id"], how, counts="n")
+        assert got.columns == ["key", "id", "v"] and got.count() == n and got.where("v = 1").count() == 200
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)] + [(5000, 5000), (None, 3)]
