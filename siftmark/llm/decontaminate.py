@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm.common import ascii_lower, columns_of, fresh
-from siftmark.session import broadcast_if_small, lookup, materialize
+from siftmark.session import broadcast_if_small, join_texts, lookup, materialize
 
 #: Words of a window, how many of its rarest positions are looked up, and the tolerance of proximity matches.
 SIZE, RAREST, SLOP = 10, 2, 5
@@ -138,7 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, rarest: int
     asked = index.candidates(slop).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "variant", "start", "long", "low", "high")).alias("asked"))
     asked = materialize(asked, "candidates", "lz4").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "asked")
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    texts = texts.join(broadcast_if_small(asked, 50_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    texts = join_texts(texts, asked)
     words = texts.select("doc_id", "mark", "asked", _words(F.col("text"), ANY_CASE).alias("words"))
     begin = lambda c: F.greatest(c["low"], F.lit(0))
     spelt = lambda c: F.split(ascii_lower(F.array_join(F.slice("words", begin(c) + 1, c["long"] + 2 * (c["high"] - c["low"])), " ")), " ")

@@ -8,9 +8,10 @@
    toxic, clean or nothing.
 2. *Label model.* A generative model with a latent label: each voter has an accuracy and a rate of
    abstaining by class, and correlated voters are joined by a tree of pairwise dependences (the
-   maximum spanning tree of their mutual information given the label). EM fits it from the votes
-   alone: it starts from their majority, ranked so that the share of toxic rows is that of the
-   training labels, which are used for nothing else here.
+   maximum spanning tree of their mutual information given the label). EM fits it and starts from
+   the majority of votes, ranked so that the share of toxic rows is that of the training labels.
+   The label of a training row is one more witness, of fixed accuracy and independent of the
+   voters: from votes alone EM can end at another split of the rows (copies, languages) than theirs.
 3. *Classifier.* A logistic regression on term counts and votes is trained on the posterior labels.
 
 The fit sees at most ``max_docs`` labelled rows (expected; taken by a hash of doc_id, a documented
@@ -40,6 +41,8 @@ from siftmark.llm.common import bounded_batches, remainder
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SPARK_WORD = r"\p{L}[\p{L}\p{M}]*"
 THRESHOLD = 0.3
+#: How often the label of a training row is right, for the label model.
+LABEL_ACCURACY = 0.95
 #: Patterns of a text: what is looked for, and how often in a hundred words it takes for a vote of toxic (none: of nothing).
 PATTERNS = {
     "masked": (regex.compile(r"\p{L}[*#@$%!]+\p{L}|\p{L}\*{2,}"), 1.0),
@@ -133,9 +136,9 @@ def majority(votes: np.ndarray, share: float) -> np.ndarray:
 
 
 class LabelModel:
-    """Naive Bayes over voters with a tree of pairwise dependences, fitted by EM."""
+    """Naive Bayes over voters with a tree of pairwise dependences, fitted by EM; ``labels`` (0, 1) of the rows, if given, are witnesses."""
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 15, smooth: float = 0.5):
+    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 15, smooth: float = 0.5, labels: np.ndarray | None = None):
         states = votes.astype(int) + 1
         n, m = states.shape
         hot = np.zeros((m, 3, n))
@@ -151,7 +154,7 @@ class LabelModel:
             for v, p in enumerate(self.parent):
                 pair = joint[:, p, v] if p >= 0 else np.repeat(joint[:, v, v].diagonal(axis1=1, axis2=2)[:, None], 3, 1)
                 self.table[v] = np.log(pair / pair.sum(2, keepdims=True))
-            new = self.posterior(votes)
+            new = self.posterior(votes, labels)
             if np.abs(new - posterior).max() < 1e-4:
                 break
             posterior = np.clip(new, 1e-6, 1 - 1e-6)
@@ -173,12 +176,15 @@ class LabelModel:
                     best[x] = v
         return parent
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of the toxic class for rows of votes."""
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """Probability of the toxic class for rows of votes, and of labels if given."""
         states = votes.astype(int) + 1
         score = np.repeat(np.log(self.prior)[None], len(states), 0)
         for v, p in enumerate(self.parent):
             score += self.table[v][:, states[:, p] if p >= 0 else 0, states[:, v]].T if p >= 0 else self.table[v][:, 0][:, states[:, v]].T
+        if labels is not None:
+            right, wrong = math.log(LABEL_ACCURACY), math.log(1 - LABEL_ACCURACY)
+            score += np.where(np.asarray(labels)[:, None] == np.arange(2), right, wrong)
         return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500)))
 
 
@@ -231,7 +237,7 @@ def _with_kin(rows: DataFrame, size: int = 5) -> DataFrame:
 
 
 def _counted(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``terms, times, words, shown`` of each text, counted on the executors."""
+    """``toxic, terms, times, words, shown`` of each text, counted on the executors."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +245,10 @@ def _counted(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
             got = [shared.value.hits(t.as_py()) for t in batch.column("text")]
             columns = [list(found) for found, _, _ in got], [list(found.values()) for found, _, _ in got], [n for _, n, _ in got], [s for _, _, s in got]
             kinds = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.bool_())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["terms", "times", "words", "shown"])
+            yield pa.record_batch([batch.column("toxic"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["toxic", "terms", "times", "words", "shown"])
 
     bounded_batches(rows.sparkSession)
-    return rows.select("text").mapInArrow(run, "terms array<int>, times array<long>, words long, shown array<boolean>")
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, terms array<int>, times array<long>, words long, shown array<boolean>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms: int = 1_500, min_docs: int = 4, least: float = 1.2) -> ToxicityModel:
@@ -274,11 +280,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 12_000, max_terms:
         if not best:
             return ToxicityModel()
         lexicon = Lexicon({r.term: float(r.odds) for r in best})
-        gathered = [(Counter(dict(zip(r.terms, r.times, strict=True))), r.words, r.shown) for r in _counted(rows, lexicon).toLocalIterator()]
+        counted = list(_counted(rows, lexicon).toLocalIterator())  # at most about ``max_docs``
+        gathered = [(Counter(dict(zip(r.terms, r.times, strict=True))), r.words, r.shown) for r in counted]
     finally:
         rows.unpersist()
     votes = np.stack([lexicon.votes(*h) for h in gathered])
-    posterior = LabelModel(votes, majority(votes, share)).posterior(votes)
+    marked = np.array([r.toxic for r in counted])
+    posterior = LabelModel(votes, majority(votes, share), labels=marked).posterior(votes, marked)
     sparse = [lexicon.features(found, words, v) for (found, words, _), v in zip(gathered, votes, strict=True)]
     return ToxicityModel(lexicon, fit_logistic(sparse, posterior, lexicon.width))
 
