@@ -82,9 +82,9 @@ def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     x = np.zeros((n, WIDTH), np.float32)
     index = {id(v): i for i, v in enumerate(nodes)}
-    parent = np.array([index[id(v.parent)] if v.parent is not None else -1 for v in nodes])
-    chars, links, blocks, runs, stops = (np.zeros(n) for _ in range(5))
-    before = np.zeros(n)
+    parent = [index[id(v.parent)] if v.parent is not None else -1 for v in nodes]
+    chars, links, blocks, runs, stops = ([0] * n for _ in range(5))
+    before = [0] * n
     seen = 0
     hinted: list[set[int]] = []
     above: list[set[int]] = []
@@ -111,35 +111,36 @@ def features(nodes: list[Node]) -> np.ndarray:
         blocks[p] += blocks[i] + (nodes[i].tag != "#text")
         runs[p] += runs[i]
         stops[p] += stops[i]
+    parent, chars, links, blocks, runs, stops, before = np.array(parent), *(np.array(a, float) for a in (chars, links, blocks, runs, stops, before))
     total = max(chars[0], 1.0)
-    for i, v in enumerate(nodes):
-        p = parent[i]
-        x[i, kind[i]] = 1
-        if p >= 0:
-            x[i, KINDS + kind[p]] = 1
-        for k in hinted[i]:
-            x[i, 2 * KINDS + k] = 1
-        for k in above[i]:
-            x[i, 2 * KINDS + N_HINTS + k] = 1
-        for k in tags_above[i]:
-            x[i, 2 * KINDS + 2 * N_HINTS + k] = 1
-        siblings = v.parent.children if v.parent is not None else [v]
-        c = 3 * KINDS + 2 * N_HINTS
-        x[i, c : c + 4] = np.log1p(v.depth), np.log1p(len(siblings)), np.log1p(blocks[i]), np.log1p(runs[i])
-        x[i, c + 4 : c + 8] = np.log1p(chars[i]), links[i] / max(chars[i], 1), chars[i] / max(runs[i], 1), stops[i] / max(chars[i], 1) * 100
-        x[i, c + 8 : c + 11] = chars[i] / total, before[i] / total, (chars[p] - chars[i]) / total if p >= 0 else 0
+    rows, has = np.arange(n), parent >= 0
+    x[rows, kind] = 1
+    x[rows[has], KINDS + np.array(kind)[parent[has]]] = 1
+    for sets, base in ((hinted, 2 * KINDS), (above, 2 * KINDS + N_HINTS), (tags_above, 2 * KINDS + 2 * N_HINTS)):
+        at = [(i, base + k) for i, found in enumerate(sets) if found for k in found]
+        if at:
+            x[tuple(np.array(at).T)] = 1
+    c = 3 * KINDS + 2 * N_HINTS
+    siblings = np.array([len(v.parent.children) if v.parent is not None else 1 for v in nodes])
+    x[:, c : c + 4] = np.log1p(np.column_stack([[v.depth for v in nodes], siblings, blocks, runs]))
+    some = np.maximum(chars, 1)
+    x[:, c + 4 : c + 8] = np.column_stack([np.log1p(chars), links / some, chars / np.maximum(runs, 1), stops / some * 100])
+    x[:, c + 8 : c + 11] = np.column_stack([chars / total, before / total, np.where(has, (chars[parent] - chars) / total, 0)])
     # statistics of siblings: their share of equal tags, mean length, link density, place among them
     c = 3 * KINDS + 2 * N_HINTS + 11
+    lone, long, linked = np.log1p(chars).tolist(), chars.tolist(), links.tolist()
+    where, stats = [], []
     for v in nodes:
         if v.children:
             at = [index[id(u)] for u in v.children]
-            own = chars[at]
-            share = links[at].sum() / max(own.sum(), 1)
-            mean = np.log1p(own.mean())
-            alike = Counter(kind[j] for j in at)
-            for k, j in enumerate(at):
-                x[j, c : c + 5] = alike[kind[j]] / len(at), mean, share, k / len(at), np.log1p(own[k - 1]) if k else -1
-                x[j, c + 5] = np.log1p(own[k + 1]) if k + 1 < len(at) else -1
+            m, mass = len(at), sum(long[j] for j in at)
+            share, alike = sum(linked[j] for j in at) / max(mass, 1), Counter(kind[j] for j in at)
+            where += at
+            stats += [(alike[kind[j]] / m, mass / m, share, k / m, lone[at[k - 1]] if k else -1, lone[at[k + 1]] if k + 1 < m else -1) for k, j in enumerate(at)]
+    if where:
+        stats = np.array(stats)
+        stats[:, 1] = np.log1p(stats[:, 1])
+        x[where, c : c + 6] = stats
     x[:, c + 6] = np.log1p(total)
     return x
 
@@ -153,17 +154,16 @@ def decode(nodes: list[Node], content: np.ndarray, boiler: np.ndarray) -> list[i
     leaf = np.array([not v.children for v in nodes])
     mixed[leaf] = 1e-9
     state = np.log(np.clip(np.column_stack([p, mixed]), 1e-9, 1) / np.column_stack([p, mixed]).sum(1, keepdims=True))
-    best = state.copy()
-    for i in range(n - 1, -1, -1):
-        for u in nodes[i].children:
-            j = index[id(u)]
-            best[i, CONTENT] += best[j, CONTENT]
-            best[i, BOILER] += best[j, BOILER]
-            best[i, MIXED] += best[j].max()
+    best = state.tolist()
+    for i in range(n - 1, 0, -1):  # children from the last to the first, each after all below it
+        own, over = best[i], best[index[id(nodes[i].parent)]]
+        over[CONTENT] += own[CONTENT]
+        over[BOILER] += own[BOILER]
+        over[MIXED] += max(own)
     chosen = [MIXED] * n
     for i, v in enumerate(nodes):
         above = chosen[index[id(v.parent)]] if v.parent is not None else MIXED
-        chosen[i] = above if above != MIXED else int(np.argmax(best[i]))
+        chosen[i] = above if above != MIXED else best[i].index(max(best[i]))
     return chosen
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -545,6 +546,21 @@ def test_label_model_stays_with_the_labels():
     assert (posterior[labels == 1] >= toxicity.THRESHOLD).mean() > 0.99 and (posterior[labels == 0] < toxicity.THRESHOLD).mean() > 0.99
 
 
+def test_features_take_about_as_long_as_parsing():
+    rng, spent = random.Random(8), [[], []]
+    pages = [main_text.training_page(rng)[0] for _ in range(80)]
+    for _ in range(5):
+        marks = [time.process_time()]
+        trees = [main_text.flatten(parse(p)) for p in pages]
+        marks.append(time.process_time())
+        for t in trees:
+            main_text.features(t)
+        marks.append(time.process_time())
+        for k in range(2):
+            spent[k].append(marks[k + 1] - marks[k])
+    assert min(spent[1]) < 1.6 * min(spent[0])
+
+
 def test_main_text_of_made_pages(extractor):
     rng, scores = random.Random(5), []
     for _ in range(150):
