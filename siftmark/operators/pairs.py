@@ -1,8 +1,10 @@
 """All pairs of labelled digests, block against block, by matrices.
 
-Rows are dealt into blocks by a hash of their id, and each task compares two blocks, so nothing is
-broadcast and no task holds more than two blocks. ``similarities`` returns the pairs themselves;
-``histogram`` and ``means`` return sums of a block, so that pairs are never rows.
+Rows are dealt evenly into blocks, and a block is written once, as one row. The blocks' table is
+joined with itself by reading it again (a Cartesian product of its files), so that no row is shuffled
+or copied for a comparison, nothing is broadcast and two blocks are compared at a time.
+``similarities`` returns the pairs themselves; ``histogram`` and ``means`` return sums of a block, so
+that pairs are never rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from siftmark.session import materialize
 BLOCK, PAIRS_BLOCK = 4_096, 1_024
 #: Rows compared in one step, so that its matrices stay in cache; rows for which more than one block is worth a task.
 STEP, LEAST = 64, 256
-#: Tasks over which pairs of blocks are dealt, at most.
-TASKS = 1_000
+#: Slots are compared one by one if more than one in so many would be equal.
+DENSE = 16
 
 
 @dataclass(frozen=True)
@@ -33,14 +35,46 @@ class Slots:
     def form(self, rows: np.ndarray) -> np.ndarray:
         return rows.astype(np.uint32) if rows.size and 0 <= rows.min() and rows.max() < 1 << 32 else rows
 
-    def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        equal = np.zeros((len(x), y.shape[1]), np.uint8 if len(y) < 256 else np.int64)
-        for s in range(len(y)):
-            equal += x[:, s, None] == y[s]
+    def other(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Columns, which of these are all zeros, and for slots of 32 bits: slots with their place in order, where each begins, and whose they are."""
+        y = np.ascontiguousarray(rows.T)
+        if y.dtype != np.uint32:
+            return y, ~y.any(0)
+        key = self._placed(rows).ravel()
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        return y, ~y.any(0), key[begin], np.r_[begin, len(key)], order // max(rows.shape[1], 1)
+
+    def _placed(self, rows: np.ndarray) -> np.ndarray:
+        return rows.astype(np.uint64) | (np.arange(rows.shape[1], dtype=np.uint64) << np.uint64(32))
+
+    def compare(self, x: np.ndarray, other: tuple[np.ndarray, ...]) -> np.ndarray:
+        y, zeros, *placed = other
+        equal = self._by_place(x, y, *placed) if placed and placed[0].size else None
+        if equal is None:
+            equal = np.zeros((len(x), y.shape[1]), np.uint8 if len(y) < 256 else np.int64)
+            for s in range(len(y)):
+                equal += x[:, s, None] == y[s]
         equal[~x.any(1)] = 0
-        equal[:, ~y.any(0)] = 0
+        equal[:, zeros] = 0
         return equal
 
+    def _by_place(self, x: np.ndarray, y: np.ndarray, keys: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> np.ndarray | None:
+        """Equal slots by looking each one up, for few of them are equal; None if they are many."""
+        own = self._placed(x).ravel()
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        met = np.flatnonzero(keys[at] == own)
+        low = begin[at[met]]
+        n = begin[at[met] + 1] - low
+        total = int(n.sum())
+        if total * DENSE > x.size * y.shape[1]:
+            return None
+        # each slot that is met makes n pairs, with the owners from ``low`` on
+        owners = owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)]
+        cells = np.repeat(met // x.shape[1] * y.shape[1], n) + owners
+        return np.bincount(cells, minlength=len(x) * y.shape[1]).reshape(len(x), y.shape[1])
+
     def most(self, width: int) -> int:
         return width
 
@@ -55,6 +89,9 @@ class Bits:
         packed = np.ascontiguousarray(rows.astype(np.int64)).view(np.uint8)
         return 2 * np.unpackbits(packed, axis=1).astype(np.float32) - 1
 
+    def other(self, rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows.T)
+
     def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         differ = (len(y) - (x @ y).astype(np.int32)) >> 1  # whole numbers, exact in single precision
         return self.n_bits - differ
@@ -72,6 +109,9 @@ class Dot:
     def form(self, rows: np.ndarray) -> np.ndarray:
         return rows.astype(np.float64)
 
+    def other(self, rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows.T)
+
     def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if not self.in_order:
             return x @ y
@@ -87,15 +127,42 @@ class Dot:
 Kernel = Slots | Bits | Dot
 
 
-def _groups(digests: DataFrame, block: int):
-    """``id, label, digest, side, i, j`` by pairs of blocks; written once, or a replica would compute digests again."""
+def _blocks(digests: DataFrame, block: int) -> DataFrame:
+    """``place, rows``: ``id, label, digest`` of the rows of each block as an Arrow stream."""
     rows = materialize(digests.select("id", "label", "digest").where("id is not null"), "digests")
     n = rows.count()
     many = max(-(-n // block), min(8, -(-n // LEAST)), 1)
-    own, other = F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
-    dealt = rows.select("id", "label", "digest", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("id", "label", "digest", (F.col("own") > F.col("other")).alias("second"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.repartition(min(many * (many + 1) // 2, TASKS), "i", "j").groupBy("i", "j")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    packed = rows.repartition(many).mapInArrow(pack, "rows binary").select(F.spark_partition_id().alias("place"), "rows")
+    return materialize(packed, "blocks")
+
+
+def _by_blocks(digests: DataFrame, block: int, run: Callable[[pa.Table], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """What ``run`` returns for each pair of blocks, and for each block by itself: a table of ``id, label, digest, second``.
+
+    Both orders of a pair are made by tasks of their own, so the sum of places tells which one is taken, and tasks have equal shares.
+    """
+    blocks = _blocks(digests, block)
+    x, y = (blocks.select(F.col("place").alias(at), F.col("rows").alias(rows)) for at, rows in (("i", "x"), ("j", "y")))
+    taken = (F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) == ((F.col("i") + F.col("j")) % 2 == 0))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, first, j, other in zip(*(batch.column(c) for c in ("i", "x", "j", "y")), strict=True):
+                sides = [pa.ipc.open_stream(side.as_buffer()).read_all() for side in ([first] if i == j else [first, other])]
+                table = pa.concat_tables(side.append_column("second", pa.array(np.full(len(side), bool(k)))) for k, side in enumerate(sides))
+                for found in run(table):
+                    yield from found.to_batches()
+
+    return x.hint("shuffle_replicate_nl").join(y, taken).mapInArrow(compared, schema)
 
 
 def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +189,19 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return table.column("second").to_numpy(), table.column("id").to_numpy(), label, *_numbers(table.column("digest"))
 
 
-def _is_one(table: pa.Table) -> bool:
-    return table.column("i")[0].as_py() == table.column("j")[0].as_py()
-
-
 def _compared(table: pa.Table, kernel: Kernel) -> Iterator[tuple]:
     """For some rows of one block at a time: ids and those of the other, pairs to take (None: all), results, nulls (None: none), equal labels."""
     second, ids, label, rows, size = _read(table)
     if isinstance(kernel, Slots) and len(set(size[size >= 0].tolist())) > 1:
         raise ValueError("digests of different lengths")
     rows = kernel.form(rows)
-    one = _is_one(table)
-    if not one and (second.all() or not second.any()):
-        return
+    one = not second.any()
     x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
-    right, plain = np.ascontiguousarray(rows[y].T), size.min() >= 0 and size.min() == size.max()
+    right, plain = kernel.other(rows[y]), size.min() >= 0 and size.min() == size.max()
+    repeated = not one and bool(np.isin(ids[x], ids[y]).any())
     for at in range(0, len(x), STEP):
         own = x[at : at + STEP]
-        take = ids[own][:, None] < ids[y][None, :] if one else None
+        take = ids[own][:, None] < ids[y][None, :] if one else ids[own][:, None] != ids[y][None, :] if repeated else None
         null = None if plain else (size[own][:, None] != size[y][None, :]) | (size[own] < 0)[:, None]
         yield ids[own], ids[y], take, kernel.compare(rows[own], right), null, label[own][:, None] == label[y][None, :], kernel.most(rows.shape[1])
 
@@ -156,7 +218,7 @@ def _dot_sums(table: pa.Table) -> tuple[int, float, int, float] | None:
     np.add.at(sums, (second.astype(int), label), rows)
     np.add.at(n, (second.astype(int), label), 1)
     (s, t), (p, q) = sums, n
-    if not _is_one(table):
+    if second.any():
         intra, total = float((s * t).sum()), float(s.sum(0) @ t.sum(0))
         return int(p.sum() * q.sum() - (p * q).sum()), total - intra, int((p * q).sum()), intra
     own = float((rows * rows).sum())
@@ -169,28 +231,25 @@ def similarities(digests: DataFrame, kernel: Kernel) -> DataFrame:
     """``a, b, sim, is_intra`` of all unordered pairs of ``id, label, digest``; rows of one id make no pair, a null id none."""
     kind = digests.schema["id"].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        out = []
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         for left, right, take, found, null, intra, most in _compared(table, kernel):
             p, q = np.nonzero(np.ones(found.shape, bool) if take is None else take)
             a, b, sim = left[p], right[q], found[p, q]
-            if take is None:
-                swap = a > b
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
+            swap = a > b
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
             sim = sim if most is None else sim / most if most else np.zeros(len(sim))
-            out.append(pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type), "sim": pa.array(sim, pa.float64(), mask=None if null is None else null[p, q]), "is_intra": pa.array(intra[p, q], pa.bool_())}))
-        return pa.concat_tables(out) if out else pa.table({"a": pa.array([], id_type), "b": pa.array([], id_type), "sim": pa.array([], pa.float64()), "is_intra": pa.array([], pa.bool_())})
+            yield pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type), "sim": pa.array(sim, pa.float64(), mask=None if null is None else null[p, q]), "is_intra": pa.array(intra[p, q], pa.bool_())})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(digests.schema["id"].dataType)
-    return _groups(digests, PAIRS_BLOCK).applyInArrow(run, f"a {kind}, b {kind}, sim double, is_intra boolean")
+    return _by_blocks(digests, PAIRS_BLOCK, run, f"a {kind}, b {kind}, sim double, is_intra boolean")
 
 
 def histogram(digests: DataFrame, kernel: Slots | Bits) -> DataFrame:
     """``sim, intra, inter``: all pairs by similarity, as ``evaluate.histogram`` counts them."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         counts, most = np.zeros((2, 1), np.int64), 0
         for _, _, take, found, null, intra, most in _compared(table, kernel):
             if len(counts[0]) != most + 2:
@@ -202,18 +261,19 @@ def histogram(digests: DataFrame, kernel: Slots | Bits) -> DataFrame:
             counts += np.bincount((place if take is None else place[take]).ravel(), minlength=2 * (most + 2)).reshape(2, -1)
         at = np.flatnonzero(counts.any(0))
         sim = pa.array(at / max(most, 1), pa.float64(), mask=at == most + 1)
-        return pa.table({"sim": sim, "intra": pa.array(counts[1, at]), "inter": pa.array(counts[0, at])})
+        yield pa.table({"sim": sim, "intra": pa.array(counts[1, at]), "inter": pa.array(counts[0, at])})
 
-    blocks = _groups(digests, BLOCK).applyInArrow(run, "sim double, intra long, inter long")
+    blocks = _by_blocks(digests, BLOCK, run, "sim double, intra long, inter long")
     return blocks.groupBy("sim").agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
 
 
 def means(digests: DataFrame, kernel: Kernel) -> DataFrame:
     """One row ``mean_intra, mean_inter``: mean similarities of pairs of equal and of different labels; null if there are none."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> Iterator[pa.Table]:
         if isinstance(kernel, Dot) and (quick := _dot_sums(table)) is not None:
-            return pa.table({"n_inter": [quick[0]], "inter": [quick[1]], "n_intra": [quick[2]], "intra": [quick[3]]})
+            yield pa.table({"n_inter": [quick[0]], "inter": [quick[1]], "n_intra": [quick[2]], "intra": [quick[3]]})
+            return
         n, total = [0, 0], [0.0, 0.0]
         for _, _, take, found, null, intra, most in _compared(table, kernel):
             found = found if most is None else found / max(most, 1)
@@ -224,8 +284,8 @@ def means(digests: DataFrame, kernel: Kernel) -> DataFrame:
                 n[k] += int(np.count_nonzero(chosen))
                 part = float(found.ravel() @ chosen.ravel().astype(np.float64))  # much faster than to gather the chosen ones
                 total[k] += part if np.isfinite(part) else float(found[chosen].sum())
-        return pa.table({"n_inter": [n[0]], "inter": [total[0]], "n_intra": [n[1]], "intra": [total[1]]})
+        yield pa.table({"n_inter": [n[0]], "inter": [total[0]], "n_intra": [n[1]], "intra": [total[1]]})
 
-    blocks = _groups(digests, BLOCK).applyInArrow(run, "n_inter long, inter double, n_intra long, intra double")
+    blocks = _by_blocks(digests, BLOCK, run, "n_inter long, inter double, n_intra long, intra double")
     mean: Callable = lambda kind: F.when(F.sum(f"n_{kind}") > 0, F.sum(kind) / F.sum(f"n_{kind}")).alias(f"mean_{kind}")
     return blocks.agg(mean("intra"), mean("inter"))

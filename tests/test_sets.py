@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +322,31 @@ def test_blocks_of_pairs_equal_a_loop(spark, monkeypatch, kernel):
         assert got == pytest.approx(sum(some) / len(some))
 
 
+@pytest.mark.parametrize("words", [3, 30_000])
+def test_slots_looked_up_equal_slots_compared(words):
+    draw = np.random.default_rng(words)
+    slots, wide = draw.integers(0, words, (90, 128)), pairs.Slots()
+    slots[7] = slots[60] = 0
+    slots[80], slots[81, :64] = slots[3], slots[4, :64]
+    slots[5] = (1 << 32) - 1
+    x, y = slots[:40], slots[30:]
+    want = [[int((p == q).sum()) if p.any() and q.any() else 0 for q in y] for p in x]
+    assert wide.compare(wide.form(x), wide.other(wide.form(y))).tolist() == want
+    assert (wide._by_place(wide.form(x), *(o for k, o in enumerate(wide.other(wide.form(y))) if k != 1)) is None) == (words == 3)
+
+
+@pytest.mark.parametrize("of", [lambda df: pairs.histogram(df, pairs.Slots()), lambda df: pairs.similarities(df, pairs.Slots()), lambda df: pairs.means(df, pairs.Slots())])
+def test_no_row_is_copied_for_the_blocks_it_meets(spark, monkeypatch, of):
+    for name in ("BLOCK", "PAIRS_BLOCK", "LEAST"):
+        monkeypatch.setattr(pairs, name, 10)
+    made, write = [], pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df, name: made.append((name, out := write(df, name))) or out)
+    found = of(spark.range(200).select("id", F.lit("p").alias("label"), F.array("id", F.lit(1)).alias("digest")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan  # a row for each of its 20 blocks, shuffled
+    assert [(name, df.count()) for name, df in made] == [("digests", 200), ("blocks", 20)]
+
+
 def test_fast_rounding_is_that_of_spark(spark):
     values = [0.0, -0.0, 1.0, -1.0, 0.0000005, -0.0000005, 0.1234565, 0.12345649999, -0.9999995, 0.3, 1e-17, 12345.6789012345, math.nan, math.inf, None]
     draw = random.Random(3)
